@@ -12,8 +12,10 @@ from colferry.llm.common import table
 from colferry.llm.fertility import fertility
 from colferry.llm.mixing import CAP, SHARE, WEIGHTS, mix
 from colferry.llm.packing import pack
+from colferry.llm.simhash import near_duplicates
 from colferry.llm.url_rules import GLOB_BLOCK, HOST_RULES, judge_urls
 from colferry.llm.voronoi_knn import knn_join
+from colferry.llm.wrapper import extract_main
 
 
 def op1_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,10 +39,19 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -111,7 +122,7 @@ FROM c LEFT JOIN f USING (k)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_fertility, op3_chat_format, op4_voronoi_knn, op5_best_fit_packing, op7_source_mixing, op9_url_filter)}
+    return {f.__name__: f for f in (op1_token_fertility, op3_chat_format, op4_voronoi_knn, op5_best_fit_packing, op6_html_wrapper, op7_source_mixing, op8_simhash, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
