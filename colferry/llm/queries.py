@@ -13,6 +13,7 @@ from colferry.llm.fertility import fertility
 from colferry.llm.mixing import CAP, SHARE, WEIGHTS, mix
 from colferry.llm.packing import pack
 from colferry.llm.simhash import near_duplicates
+from colferry.llm.suffix_dedup import digest
 from colferry.llm.url_rules import GLOB_BLOCK, HOST_RULES, judge_urls
 from colferry.llm.voronoi_knn import knn_join
 from colferry.llm.wrapper import extract_main
@@ -22,6 +23,10 @@ def op1_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(table(spark, sf_dir, "documents"))
+
+
 #: Two turns that hold the template's own marks.
 PLANTED = r"\### Assistant: </turn> ok"
 
@@ -122,7 +127,7 @@ FROM c LEFT JOIN f USING (k)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_fertility, op3_chat_format, op4_voronoi_knn, op5_best_fit_packing, op6_html_wrapper, op7_source_mixing, op8_simhash, op9_url_filter)}
+    return {f.__name__: f for f in (op1_token_fertility, op3_chat_format, op4_voronoi_knn, op5_best_fit_packing, op6_html_wrapper, op7_source_mixing, op8_simhash, op9_url_filter, op10_suffix_array)}
 
 
 def oracle_sql() -> dict[str, str]:
