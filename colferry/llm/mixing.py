@@ -51,9 +51,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
         F.coalesce(F.sum("source_size").over(before) * cap, F.lit(0.0)).alias("cap_before"), F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("w_before"),
     )
     level = (F.col("total") - F.col("cap_before")) / (F.col("all_w") - F.col("w_before"))
-    fits = level * F.col("w") < F.col("source_size") * cap  # from the first that fits on, all do
-    found = F.min(F.when(fits, level)).over(every)
-    return rows.select("source", "source_size", F.least(F.coalesce(found * F.col("w"), F.col("source_size") * cap), (F.col("source_size") * cap).cast("double")).cast("double").alias("target"))
+    # the level rises while sources fall short of it and sinks from the first that doesn't: its peak is the right one
+    peak = F.max(level).over(every)
+    return rows.select("source", "source_size", F.least(peak * F.col("w"), (F.col("source_size") * cap).cast("double")).cast("double").alias("target"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:

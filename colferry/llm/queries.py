@@ -12,6 +12,7 @@ from colferry.llm.common import table
 from colferry.llm.fertility import fertility
 from colferry.llm.mixing import CAP, SHARE, WEIGHTS, mix
 from colferry.llm.packing import pack
+from colferry.llm.quality_bayes import classify, train
 from colferry.llm.simhash import near_duplicates
 from colferry.llm.suffix_dedup import digest
 from colferry.llm.url_rules import GLOB_BLOCK, HOST_RULES, judge_urls
@@ -36,6 +37,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)))
 
 
+def op2_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = classify(docs, train(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("evidence", "host", "path", "posterior", "kept")])
+
+
 def op4_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_join(table(spark, sf_dir, "embeddings"))
 
@@ -84,8 +91,7 @@ WITH d AS (
   SELECT *, {SHARE} * sum(source_size) OVER () AS total, sum(w) OVER () AS all_w,
     coalesce(sum(source_size) OVER before, 0) * {CAP} AS cap_before, coalesce(sum(w) OVER before, 0) AS w_before
   FROM w WINDOW before AS (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), l AS (SELECT *, min(CASE WHEN (total - cap_before) / (all_w - w_before) * w < source_size * {CAP} THEN (total - cap_before) / (all_w - w_before) END) OVER () AS level FROM p
-), t AS (SELECT source, source_size, CAST(least(coalesce(level * w, source_size * {CAP}), source_size * {CAP}) AS DOUBLE) AS target FROM l
+), t AS (SELECT source, source_size, CAST(least(max((total - cap_before) / (all_w - w_before)) OVER () * w, source_size * {CAP}) AS DOUBLE) AS target FROM p
 ), u AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS rounds FROM t
 ), h AS (
   SELECT source, hash, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY source ORDER BY hash) AS upto FROM d GROUP BY source, hash
@@ -127,7 +133,7 @@ FROM c LEFT JOIN f USING (k)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_fertility, op3_chat_format, op4_voronoi_knn, op5_best_fit_packing, op6_html_wrapper, op7_source_mixing, op8_simhash, op9_url_filter, op10_suffix_array)}
+    return {f.__name__: f for f in (op1_token_fertility, op2_quality_bayes, op3_chat_format, op4_voronoi_knn, op5_best_fit_packing, op6_html_wrapper, op7_source_mixing, op8_simhash, op9_url_filter, op10_suffix_array)}
 
 
 def oracle_sql() -> dict[str, str]:
