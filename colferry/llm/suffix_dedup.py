@@ -6,14 +6,14 @@ that occur twice in the corpus matter; the text around them (so long that every
 is what a shard sorts, by external induced sorting. Neighbours with a common prefix of MATCH bytes form a run of
 equal strings, of which all but the first in the corpus are covered.
 
-Shuffled are: one hash an anchor (copies within a batch are told at once and sent once), the places of repeated
-anchors, and the segments of text around them, each distinct text once a task.
+Whole copies of a document are told by their hash first, and only the first of them goes on. Shuffled are then: one
+hash an anchor (copies within a batch are told at once and sent once), the places of repeated anchors, the documents
+that have such places, and the segments of text around them, each distinct text once a task.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +32,8 @@ WINDOW = MATCH - K + 1
 SHARD_BYTES, HELD_BYTES = 8 << 20, 24 << 20
 #: Tables of places or spans up to this size are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Whole copies up to which their ids (16 bytes) are broadcast.
+BROADCAST_COPIES = 1 << 20
 #: A null id comes after all others.
 NULL_ID = (1 << 63) - 1
 _MIX = np.random.default_rng(100).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
@@ -98,7 +100,7 @@ ANCHOR = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("twice", "u1
 SENT = "bucket int, anchors binary"
 PLACES = "doc long, at int"
 SEGMENTS = "shard int, doc long, version long, start long, starts int, segment binary"
-COVERED = "doc long, version long, runs binary"
+COVERED = "doc long, version long, start long, end long"
 
 
 def repeated_places(docs: DataFrame, buckets: int) -> DataFrame:
@@ -162,9 +164,24 @@ def repeated_places(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(find, SENT).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, PLACES)
 
 
+def merged(doc: np.ndarray, version: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of bytes, with those of one document that touch or overlap as one."""
+    if not len(doc):
+        return doc, version, start, end
+    order = np.lexsort((start, version, doc))
+    doc, version, start, end = doc[order], version[order], start[order], end[order]
+    other = np.append(True, (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]))
+    group = np.cumsum(other)
+    far = int(end.max()) + 1
+    reach = np.maximum.accumulate(end + group * far) - group * far  # the furthest end in the document so far
+    new = other | np.append(True, start[1:] > reach[:-1])
+    at = np.flatnonzero(new)
+    return doc[at], version[at], start[at], reach[np.append(at[1:] - 1, len(doc) - 1)]
+
+
 def segments(docs: DataFrame, shards: int) -> DataFrame:
     """Text around the given places (column places) of each document, by shard; copies within a task are sent once,
-    and come back (shard -1) as starts that are covered already."""
+    and come back as spans that are covered already (shard -1, without text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, tuple] = {}  # text -> shard, doc, version, start, starts of its first copy
@@ -172,21 +189,26 @@ def segments(docs: DataFrame, shards: int) -> DataFrame:
         extra: list[tuple] = []
 
         def send() -> pa.RecordBatch:
-            rows = [(*v, k) for k, v in held.items()] + extra
-            return _rows(SEGMENTS, *(list(c) for c in zip(*rows)))
+            told = np.array(extra, np.int64).reshape(-1, 4)
+            doc, version, start, end = merged(told[:, 0], told[:, 1], told[:, 2], told[:, 2] + told[:, 3] - 1 + MATCH)
+            n = len(doc)
+            own = list(zip(*held.values())) or [[]] * 5
+            cols = [np.append(np.asarray(x, np.int64), y) for x, y in zip(own, (np.full(n, -1), doc, version, start, end - start - MATCH + 1))]
+            return _rows(SEGMENTS, *cols, [*held, *[b""] * n])
 
         for whole in batches:
             for batch in slices(whole, 4 << 20):
-                for doc, text, places in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                    raw = (text or "").encode()
-                    version = xxhash.xxh64_intdigest(raw) >> 1
+                columns = [batch.column(c).to_pylist() for c in range(3)]
+                places, ends = batch.column(3).flatten().to_numpy(), np.append(0, np.cumsum(batch.column(3).value_lengths().to_numpy()))
+                for k, (doc, text, version) in enumerate(zip(*columns)):
+                    raw = text.encode()
                     h, at = anchors(np.frombuffer(raw, np.uint8))
-                    at = at[np.isin(at, np.asarray(places, np.int64))]
+                    at = at[np.isin(at, places[ends[k] : ends[k + 1]])]
                     low, high = reach(h, at)
                     shard = (h[at] >> np.uint64(20)).astype(np.int64) % shards
-                    for s, a, b in zip(shard.tolist(), low.tolist(), high.tolist()):
-                        piece = raw[a : b + MATCH]
-                        own = (s, doc, version, a, b - a + 1)
+                    for s, a, n in zip(shard.tolist(), low.tolist(), (high - low + 1).tolist()):
+                        piece = raw[a : a + n - 1 + MATCH]
+                        own = (s, doc, version, a, n)
                         other = held.get(piece)
                         if other is None:
                             held[piece] = own
@@ -194,7 +216,7 @@ def segments(docs: DataFrame, shards: int) -> DataFrame:
                         elif own[1:4] != other[1:4]:
                             if own[1:4] < other[1:4]:
                                 held[piece], own = own, other
-                            extra.append((-1, *own[1:], b""))
+                            extra.append(own[1:])
                             size += 150
                 if size > HELD_BYTES:
                     yield send()
@@ -208,18 +230,6 @@ def segments(docs: DataFrame, shards: int) -> DataFrame:
 
 
 RUN = np.dtype([("start", "<i8"), ("end", "<i8")])
-
-
-def _runs(starts: np.ndarray) -> bytes:
-    """Sorted starts as runs of (first start, end of the last string)."""
-    starts = np.unique(starts)
-    cut = np.flatnonzero(np.diff(starts) > MATCH)
-    out = np.empty(len(cut) + 1, RUN)
-    out["start"] = starts[np.append(0, cut + 1)]
-    out["end"] = starts[np.append(cut, len(starts) - 1)] + MATCH
-    return out.tobytes()
-
-
 OWNER = np.dtype([("doc", "<i8"), ("version", "<i8"), ("start", "<i8"), ("starts", "<i4"), ("at", "<i8")])
 
 
@@ -228,24 +238,43 @@ def covered_by(owners: np.ndarray, text: np.ndarray, folder: str | None = None)
     begins = owners["at"]
     with Store(folder) as store:
         carry: list[tuple] = []  # first string of a run that goes on in the next block
+        last = None  # the entry before, which may begin a run
         for entries in suffixes(text, MATCH, store):
-            pos = entries["pos"]
-            own = np.searchsorted(begins, pos, "right") - 1
-            offset = pos - begins[own]
-            valid = offset < owners["starts"][own]
+            if last is not None:
+                entries = np.concatenate([last, entries])
+            last = entries[-1:].copy()
+            goes_on = np.append(entries["lcp"][1:] >= MATCH, False)
+            shared = goes_on | (entries["lcp"] >= MATCH)  # of an entry alone there is nothing to tell
+            shared[-1] = False  # it comes again
             # a run goes on where the common prefix is whole; places that start no string of ours are passed over
             run = np.cumsum(entries["lcp"] < MATCH)
             open_run = run[-1]
+            pos, run = entries["pos"][shared], run[shared]
+            own = np.searchsorted(begins, pos, "right") - 1
+            offset = pos - begins[own]
+            valid = offset < owners["starts"][own]
             own, start, run = own[valid], (owners["start"][own] + offset)[valid], run[valid]
             if carry:
-                own, start, run = (np.concatenate([c, x]) for c, x in zip(carry.pop(), (own, start, run)))
+                first_run = 0 if entries["lcp"][0] >= MATCH else -1
+                held = carry.pop()
+                own, start, run = (np.concatenate([c, x]) for c, x in zip((*held, np.full(1, first_run)), (own, start, run)))
             if not len(own):
                 continue
             first, later = _split(owners, own, start, run)
             keep = first[run[first] == open_run]
             if len(keep):
-                carry.append((own[keep], start[keep], np.zeros(1, np.int64)))
-            yield own[later], start[later]
+                carry.append((own[keep], start[keep]))
+            if len(later):
+                yield own[later], start[later]
+        if last is not None and carry and last["lcp"][0] >= MATCH:
+            own = np.searchsorted(begins, last["pos"], "right") - 1
+            offset = last["pos"] - begins[own]
+            if offset[0] < owners["starts"][own][0]:
+                held = carry.pop()
+                own, start = np.append(held[0], own), np.append(held[1], owners["start"][own] + offset)
+                _, later = _split(owners, own, start, np.zeros(2, np.int64))
+                if len(later):
+                    yield own[later], start[later]
 
 
 def _split(owners: np.ndarray, own: np.ndarray, start: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,13 +288,10 @@ def _split(owners: np.ndarray, own: np.ndarray, start: np.ndarray, run: np.ndarr
 
 
 def sort_shards(rows: DataFrame, shards: int) -> DataFrame:
-    """Covered runs by document, from segments; each shard's text is sorted by itself."""
+    """Covered spans, from segments; each shard's text is sorted by itself."""
 
-    def per_doc(doc: np.ndarray, version: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((start, version, doc))
-        doc, version, start = doc[order], version[order], start[order]
-        cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])))
-        return _rows(COVERED, doc[cut], version[cut], [_runs(x) for x in np.split(start, cut[1:])])
+    def spans(doc: list, version: list, start: list, end: list) -> pa.RecordBatch:
+        return _rows(COVERED, *merged(*(np.concatenate(x).astype(np.int64) for x in (doc, version, start, end))))
 
     def solve(held: dict[bytes, tuple], chunks: list[bytes]) -> Iterator[pa.RecordBatch]:
         owners = np.array(list(held.values()), OWNER)
@@ -274,23 +300,22 @@ def sort_shards(rows: DataFrame, shards: int) -> DataFrame:
         found: list[tuple] = []
         size = 0
         for own, start in covered_by(owners, text):
-            if len(own):
-                found.append((owners["doc"][own], owners["version"][own], start))
-                size += len(own)
-                if size > 1 << 20:
-                    yield per_doc(*map(np.concatenate, zip(*found)))
-                    found, size = [], 0
+            found.append((owners["doc"][own], owners["version"][own], start, start + MATCH))
+            size += len(own)
+            if size > 1 << 19:
+                yield spans(*map(list, zip(*found)))
+                found, size = [], 0
         if found:
-            yield per_doc(*map(np.concatenate, zip(*found)))
+            yield spans(*map(list, zip(*found)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, chunks, at = None, {}, [], 0
-        told: dict[tuple, list[np.ndarray]] = defaultdict(list)
+        told: list[tuple] = []
 
         def tell() -> pa.RecordBatch:
-            out = _rows(COVERED, [k[0] for k in told], [k[1] for k in told], [_runs(np.concatenate(v)) for v in told.values()])
+            x = np.array(told, np.int64)
             told.clear()
-            return out
+            return spans([x[:, 0]], [x[:, 1]], [x[:, 2]], [x[:, 2] + x[:, 3] - 1 + MATCH])
 
         for batch in batches:
             for shard, doc, version, start, starts, piece in zip(*(batch.column(c).to_pylist() for c in range(6))):
@@ -311,8 +336,8 @@ def sort_shards(rows: DataFrame, shards: int) -> DataFrame:
                     if (doc, version, start) < other[:3]:
                         held[name] = (doc, version, start, starts, other[4])
                         doc, version, start = other[:3]
-                told[doc, version].append(np.arange(start, start + starts))
-            if len(told) > 50_000:
+                told.append((doc, version, start, starts))
+            if len(told) > 200_000:
                 yield tell()
         if held:
             yield from solve(held, chunks)
@@ -323,40 +348,47 @@ def sort_shards(rows: DataFrame, shards: int) -> DataFrame:
     return rows.withColumn("__to", spread).repartition(shards, "__to").sortWithinPartitions("shard").drop("__to").mapInArrow(work, COVERED)
 
 
-def merge_runs(runs: np.ndarray) -> np.ndarray:
-    """Runs that touch or overlap become one."""
-    runs = runs[np.argsort(runs["start"], kind="stable")]
-    ends = np.maximum.accumulate(runs["end"])
-    new = np.append(True, runs["start"][1:] > ends[:-1])
-    at = np.flatnonzero(new)
-    out = np.empty(len(at), RUN)
-    out["start"], out["end"] = runs["start"][at], ends[np.append(at[1:] - 1, len(runs) - 1)]
-    return out
+def copies(src: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc, version, start, end) of documents that are whole copies of an earlier one and have MATCH bytes."""
+    ids = scratch.write(src.where(F.octet_length("text") >= MATCH).select("doc", "version", F.xxhash64(F.lit(1), "text").alias("check"), F.octet_length("text").cast("long").alias("end")), "ids")
+    first = ids.groupBy("version", "check").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("last > first").drop("last")
+    found = ids.join(first, ["version", "check"]).where("doc > first").select("doc", "version", F.lit(0).cast("long").alias("start"), "end")
+    return scratch.write(found.distinct(), "copies")
 
 
 def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, version, spans (packed RUN records, disjoint): bytes covered by a string that also starts earlier."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    src = docs.select(_key(docs[id_col]).alias("doc"), docs[text_col].alias("text"))
+    src = docs.select(_key(docs[id_col]).alias("doc"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    src = src.withColumn("version", F.xxhash64("text"))
+    again = copies(src, scratch)
+    few = again.count() <= BROADCAST_COPIES
+    names = again.select("doc", "version")
+    src = src.join(F.broadcast(names) if few else names, ["doc", "version"], "left_anti").select("doc", "text", "version")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     places = scratch.write(repeated_places(src, 4 * parts), "places")
-    n = places.count()
     by_doc = places.groupBy("doc").agg(F.collect_set("at").alias("places"))  # some thirtieth of a document's bytes
-    if n * 4 <= BROADCAST_BYTES:
-        by_doc = F.broadcast(by_doc)
-    shards = max(1, -(-n * (MATCH + WINDOW) // SHARD_BYTES))
-    cut = segments(src.join(by_doc, "doc").select("doc", "text", "places"), shards)
+    shards = max(1, -(-places.count() * (MATCH + WINDOW) // SHARD_BYTES))
+    # by shuffle at any size: so the cost follows the input
+    cut = segments(src.hint("merge").join(by_doc, "doc").select("doc", "text", "version", "places"), shards)
     found = scratch.write(sort_shards(cut, shards), "covered")
     scratch.drop("places")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [merge_runs(np.concatenate([np.frombuffer(r, RUN) for r in runs])).tobytes() for runs in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.binary())], names=["doc", "version", "spans"])
+            lists = batch.column(2)
+            n = lists.value_lengths().to_numpy()
+            pair = lists.flatten()
+            row = np.repeat(np.arange(len(n)), n)
+            at, _, start, end = merged(row, np.zeros(len(row), np.int64), pair.field(0).to_numpy(), pair.field(1).to_numpy())
+            out = np.empty(len(at), RUN)
+            out["start"], out["end"] = start, end
+            cuts = np.searchsorted(at, np.arange(len(n) + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["doc", "version", "spans"])
 
-    merged = found.groupBy("doc", "version").agg(F.collect_list("runs").alias("runs")).mapInArrow(join, "doc long, version long, spans binary")
-    return scratch.write(merged, "spans")
+    lists = found.unionByName(again).groupBy("doc", "version").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return scratch.write(lists.mapInArrow(join, "doc long, version long, spans binary"), "spans")
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,7 +403,7 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _own(raw: bytes, spans: list | None) -> np.ndarray:
     if not spans:
         return np.zeros(0, RUN)
-    version = xxhash.xxh64_intdigest(raw) >> 1
+    version = int(np.uint64(xxhash.xxh64_intdigest(raw, 42)).astype(np.int64))
     return next((np.frombuffer(s["spans"], RUN) for s in spans if s["version"] == version), np.zeros(0, RUN))
 
 
