@@ -116,16 +116,17 @@ def read_back(turns: DataFrame) -> DataFrame:
         pack = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], names=[c.split()[0] for c in DIGEST.split(", ")])
         for whole in batches:
             for batch in slices(whole):
-                for conv, formatted, ids, mask in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4))):
+                ends = np.cumsum(batch.column(3).value_lengths().to_numpy())
+                ids_of, mask_of = (np.split(batch.column(c).flatten().to_numpy(), ends[:-1]) for c in (3, 4))
+                for conv, formatted, ids, mask in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), ids_of, mask_of):
                     if conv != last:
                         if own:
                             close()
                         last, own = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                    ids, mask = np.asarray(ids, np.int32), np.asarray(mask, bool)
                     role, text = read_turn(ids)
                     own[0] += 1
                     own[1].update(f"{role}\n{text}\n".encode())
-                    loss = unescape(byte_bpe().decode_bytes(ids[mask].tolist()).decode("utf-8"))
+                    loss = unescape(byte_bpe().decode_bytes(ids[mask > 0].tolist()).decode("utf-8"))
                     own[2] += len(loss)
                     own[3].update(loss.encode())
                     own[4] += len(formatted)

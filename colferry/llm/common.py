@@ -1,46 +1,20 @@
-"""Helpers shared by the operators: scratch tables, byte and word rules, public tokenizers."""
+"""Helpers shared by the operators: tables, slices of batches, public tokenizers."""
 
 from __future__ import annotations
 
 import base64
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from colferry.scratch import Scratch  # noqa: F401
+
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 SPACES = " \t\n\x0b\x0c\r"
 SPECIAL = "<|endoftext|>"
 
 
-@cache
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="colferry-")
-
-
-class Scratch:
-    """Tables of one run in the cluster's shared folder (spark.checkpoint.dir), which survive lost executors.
-
-    Only where that setting is missing, as in tests, is a folder of this machine taken.
-    `drop` removes a table whose readers have all finished.
-    """
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-        self.root = f"{base.rstrip('/')}/colferry-{uuid.uuid4().hex}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
-
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,7 +30,9 @@ MATCH, K = 100, 32
 WINDOW = MATCH - K + 1
 #: Bytes of segments that a shard is planned for, and that a task keeps to tell copies before it sends them.
 SHARD_BYTES, HELD_BYTES = 8 << 20, 24 << 20
-#: Tables of places or spans up to this size are broadcast; larger ones are joined by shuffle.
+#: Bytes of a shard's text, and segments to tell copies among, that a task keeps in memory.
+MEMORY_BYTES, KNOWN = 48 << 20, 400_000
+#: Tables of spans up to this size are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Whole copies up to which their ids (16 bytes) are broadcast.
 BROADCAST_COPIES = 1 << 20
@@ -287,16 +289,80 @@ def _split(owners: np.ndarray, own: np.ndarray, start: np.ndarray, run: np.ndarr
     return order[new], order[later]
 
 
+class Shard:
+    """Segments of a shard: text in memory, or in a file where Spark spills, beyond MEMORY_BYTES.
+
+    Copies among the first KNOWN segments are told at once; later ones are left to the sort.
+    """
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, list] = {}
+        self.owners: list[np.ndarray] = []
+        self.rest: list[tuple] = []
+        self.chunks: list[bytes] = []
+        self.held = self.size = 0
+        self.store: Store | None = None
+
+    def add(self, doc: int, version: int, start: int, starts: int, piece: bytes) -> tuple | None:
+        """A copy that starts later than another of the same text, if there is one."""
+        name = xxhash.xxh3_128_digest(piece)
+        other = self.known.get(name)
+        if other is not None:
+            if (doc, version, start) == tuple(other[:3]):
+                return None
+            if (doc, version, start) < tuple(other[:3]):
+                later = (*other[:3], starts)
+                other[:3] = doc, version, start
+                return later
+            return doc, version, start, starts
+        own = [doc, version, start, starts, self.size]
+        if len(self.known) < KNOWN:
+            self.known[name] = own
+        else:
+            self.rest.append(tuple(own))
+            if len(self.rest) >= KNOWN:
+                self.owners.append(np.array(self.rest, OWNER))
+                self.rest.clear()
+        self.chunks.append(piece)
+        self.size += len(piece)
+        self.held += len(piece)
+        if self.held > MEMORY_BYTES:
+            self._spill()
+        return None
+
+    def _spill(self) -> None:
+        self.store = self.store or Store()
+        with open(f"{self.store.folder}/text", "ab") as f:
+            f.write(b"".join(self.chunks))
+        self.chunks.clear()
+        self.held = 0
+
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
+        """Owners in order of their text, and the text; a mapped file is padded, as the sort wants it."""
+        owners = np.concatenate([np.array([tuple(v) for v in self.known.values()], OWNER), *self.owners, np.array(self.rest, OWNER)])
+        self.known.clear()
+        if self.store is None:
+            text = np.frombuffer(b"".join(self.chunks), np.uint8)
+            self.chunks.clear()
+            return owners, text
+        self.chunks.append(bytes(MATCH + 8))
+        self._spill()
+        return owners, np.memmap(f"{self.store.folder}/text", np.uint8, "r")
+
+    def drop(self) -> None:
+        if self.store:
+            self.store.close()
+            self.store = None
+
+
 def sort_shards(rows: DataFrame, shards: int) -> DataFrame:
     """Covered spans, from segments; each shard's text is sorted by itself."""
 
     def spans(doc: list, version: list, start: list, end: list) -> pa.RecordBatch:
         return _rows(COVERED, *merged(*(np.concatenate(x).astype(np.int64) for x in (doc, version, start, end))))
 
-    def solve(held: dict[bytes, tuple], chunks: list[bytes]) -> Iterator[pa.RecordBatch]:
-        owners = np.array(list(held.values()), OWNER)
-        text = np.frombuffer(b"".join(chunks), np.uint8)
-        chunks.clear()
+    def solve(shard: Shard) -> Iterator[pa.RecordBatch]:
+        owners, text = shard.close()
         found: list[tuple] = []
         size = 0
         for own, start in covered_by(owners, text):
@@ -309,7 +375,7 @@ def sort_shards(rows: DataFrame, shards: int) -> DataFrame:
             yield spans(*map(list, zip(*found)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, chunks, at = None, {}, [], 0
+        last, shard = None, Shard()
         told: list[tuple] = []
 
         def tell() -> pa.RecordBatch:
@@ -317,32 +383,25 @@ def sort_shards(rows: DataFrame, shards: int) -> DataFrame:
             told.clear()
             return spans([x[:, 0]], [x[:, 1]], [x[:, 2]], [x[:, 2] + x[:, 3] - 1 + MATCH])
 
-        for batch in batches:
-            for shard, doc, version, start, starts, piece in zip(*(batch.column(c).to_pylist() for c in range(6))):
-                if shard != last and held:
-                    yield from solve(held, chunks)
-                    held, chunks, at = {}, [], 0
-                last = shard
-                if shard >= 0:
-                    name = xxhash.xxh3_128_digest(piece)
-                    other = held.get(name)
-                    if other is None:
-                        held[name] = (doc, version, start, starts, at)
-                        chunks.append(piece)
-                        at += len(piece)
-                        continue
-                    if (doc, version, start) == other[:3]:
-                        continue
-                    if (doc, version, start) < other[:3]:
-                        held[name] = (doc, version, start, starts, other[4])
-                        doc, version, start = other[:3]
-                told.append((doc, version, start, starts))
-            if len(told) > 200_000:
+        try:
+            for batch in batches:
+                for name, doc, version, start, starts, piece in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                    if name != last and shard.size:
+                        yield from solve(shard)
+                        shard.drop()
+                        shard = Shard()
+                    last = name
+                    later = (doc, version, start, starts) if name < 0 else shard.add(doc, version, start, starts, piece)
+                    if later:
+                        told.append(later)
+                if len(told) > 200_000:
+                    yield tell()
+            if shard.size:
+                yield from solve(shard)
+            if told:
                 yield tell()
-        if held:
-            yield from solve(held, chunks)
-        if told:
-            yield tell()
+        finally:
+            shard.drop()
 
     spread = F.when(F.col("shard") < 0, F.pmod(F.hash("doc", "start"), F.lit(shards))).otherwise(F.col("shard"))
     return rows.withColumn("__to", spread).repartition(shards, "__to").sortWithinPartitions("shard").drop("__to").mapInArrow(work, COVERED)
