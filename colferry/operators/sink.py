@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,7 @@ from colferry.functions.geo import geo_metadata
 from colferry.options import CopyToOptions, assign_field_ids, children
 from colferry.sources.scan import open_fs
 from colferry.sources.uri import Uri, parse_uri
-from colferry.types import ARROW_ONLY, SqlType, arrow_type, of_spark
+from colferry.types import ARROW_ONLY, SqlType, arrow_type, of_spark, spark_type
 
 BATCH_ROWS = 1024
 _GZIP = {1: "BEST_SPEED", 2: "TWO", 3: "THREE", 4: "FOUR", 5: "FIVE", 6: "SIX", 7: "SEVEN", 8: "EIGHT", 9: "BEST_COMPRESSION"}
@@ -134,14 +134,14 @@ def _write_native(df: DataFrame, columns: list[tuple[str, SqlType]], target: Uri
     spark = df.sparkSession
     stored = store(df, columns)
     # every exported column is nullable; the id, which is never negative, keeps the optimizer from seeing through it
-    free = lambda c, f: c if f.nullable else F.when(F.monotonically_increasing_id() >= 0, c)
-    named = stored.select(*[free(F.col(f"c{k}"), stored.schema[k]).alias(n, metadata={"parquet.field.id": ids[(n,)]} if (n,) in ids else {}) for k, (n, _) in enumerate(columns)])
+    free = lambda c, f, t: _freed(c, f.dataType, t) if f.nullable else F.when(F.monotonically_increasing_id() >= 0, _freed(c, f.dataType, t))
+    named = stored.select(*[free(F.col(f"c{k}"), stored.schema[k], columns[k][1]).alias(n, metadata={"parquet.field.id": ids[(n,)]} if (n,) in ids else {}) for k, (n, _) in enumerate(columns)])
     if ids:
         named = named.to(_with_ids(named.schema, ids))
     fs, out = _hadoop(spark, target)
     folder = _hadoop_path(spark, f"{out.getParent()}/.tmp-{uuid.uuid4().hex}")
     wanted = {"spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS", "spark.sql.timeType.enabled": "true", "spark.sql.caseSensitive": "true", "spark.sql.parquet.fieldId.write.enabled": "true", "spark.sql.session.timeZone": "UTC"}
-    writer = named.coalesce(1).write.option("compression", options.compression).option("parquet.block.size", options.row_group_size_bytes).option("parquet.block.row.count.limit", options.row_group_size)
+    writer = named.coalesce(1).write.option("compression", options.compression).option("parquet.block.size", options.row_group_size_bytes).option("parquet.block.row.count.limit", options.row_group_size).option("parquet.page.size.row.check.max", BATCH_ROWS)
     if options.compression == "gzip":
         writer = writer.option("zlib.compress.level", _GZIP[options.compression_level])
     if options.compression == "zstd":
@@ -158,6 +158,16 @@ def _write_native(df: DataFrame, columns: list[tuple[str, SqlType]], target: Uri
     return pq.read_metadata(path, filesystem=arrow).num_rows
 
 
+def _freed(c: Column, d: T.DataType, t: SqlType) -> Column:
+    """A column whose inner fields are nullable, too."""
+    if isinstance(d, T.StructType) and d != spark_type(t):
+        return c.cast(spark_type(t))
+    if isinstance(d, T.ArrayType) and not d.containsNull:
+        none = F.filter(F.array(F.lit(None).cast(spark_type(t.element))), lambda x: F.lit(False))
+        return F.concat(c.cast(spark_type(t)), none)
+    return c
+
+
 def _with_ids(schema: T.StructType, ids: dict, path: tuple[str, ...] = ()) -> T.StructType:
     def made(f: T.StructField) -> T.StructField:
         own = (*path, f.name)
@@ -207,13 +217,15 @@ def _write_arrow(df: DataFrame, columns: list[tuple[str, SqlType]], target: Uri,
     mark = uuid.uuid4().hex
     head = Uri(target.text, target.scheme, target.bucket, f"{folder}/.tmp-{mark}", target.account)
 
+    wide = any(x.kind == "oid" for _, t in columns for x in t.walk())  # format 1.0 has no unsigned 32-bit numbers
+
     def open_writer(path: str, fs: pafs.FileSystem) -> tuple[pa.NativeFile, pq.ParquetWriter]:
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         sink = fs.open_output_stream(path)
         codec = {"uncompressed": "none", "lz4_raw": "lz4"}.get(options.compression, options.compression)
         level = options.compression_level if options.compression in ("gzip", "zstd", "brotli") else None
         writer = pq.ParquetWriter(
-            sink, schema, compression=codec, compression_level=level, version="2.6", data_page_version="2.0" if options.parquet_version == "v2" else "1.0",
+            sink, schema, compression=codec, compression_level=level, version="1.0" if options.parquet_version == "v1" and not wide else "2.6", data_page_version="2.0" if options.parquet_version == "v2" else "1.0",
             store_schema=True, write_time_adjusted_to_utc=any(t.kind == "timetz" for _, t in columns),
         )
         return sink, writer

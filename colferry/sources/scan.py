@@ -136,7 +136,8 @@ def scan(spark: SparkSession, group: FileGroup) -> DataFrame:
     names = [f.name for f in group.schema]
     kinds = [read_type(f.type) for f in group.schema]
     paths = [parse_uri(p) for p in group.paths]
-    if group.brotli or any(p.scheme in ("http", "https") for p in paths):
+    alike = len({n.lower() for n in names}) < len(names)  # names that Spark may not tell apart
+    if alike or group.brotli or any(p.scheme in ("http", "https") for p in paths):
         schema = T.StructType([T.StructField(f"c{k}", t) for k, t in enumerate(kinds)])
         target = [_arrow_read(f.type) for f in group.schema]
 
