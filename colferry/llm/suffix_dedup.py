@@ -29,7 +29,7 @@ MATCH, K = 100, 32
 #: K-byte places in a string.
 WINDOW = MATCH - K + 1
 #: Bytes of segments that a shard is planned for, and that a task keeps to tell copies before it sends them.
-SHARD_BYTES, HELD_BYTES = 8 << 20, 24 << 20
+SHARD_BYTES, HELD_BYTES = 8 << 20, 16 << 20
 #: Bytes of a shard's text, and segments to tell copies among, that a task keeps in memory.
 MEMORY_BYTES, KNOWN = 48 << 20, 400_000
 #: Tables of spans up to this size are broadcast; larger ones are joined by shuffle.

@@ -27,7 +27,7 @@ BLOCK = 1 << 18
 class Store:
     """Memory budget (bytes) and folder shared by queues."""
 
-    def __init__(self, folder: str | None = None, budget: int = 96 << 20) -> None:
+    def __init__(self, folder: str | None = None, budget: int = 64 << 20) -> None:
         base = folder or os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
         self.folder = tempfile.mkdtemp(prefix="suffixes-", dir=base)
         self.budget, self.held, self.files = budget, 0, 0
@@ -247,7 +247,7 @@ class _Push:
             self.queues[int(c[lo])].add(entries[lo:hi])
 
 
-def suffixes(text: bytes | np.ndarray, depth: int, store: Store, limit: int = 1 << 21) -> Iterator[np.ndarray]:
+def suffixes(text: bytes | np.ndarray, depth: int, store: Store, limit: int = 1 << 20) -> Iterator[np.ndarray]:
     """Entries of all suffixes, largest first, in blocks: position, and common prefix (up to depth) with the entry before.
 
     The order is exact on the first depth bytes. limit: S*-suffixes sorted at once.
