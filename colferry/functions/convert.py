@@ -85,7 +85,8 @@ def json_text(c: Column) -> Column:
 
 def jsonb_text(c: Column) -> Column:
     """Compact form, keys in order."""
-    return F.when(json_text(c).isNotNull(), F.to_json(F.parse_json(c)))
+    parsed = F.try_parse_json(c)
+    return guard(c.isNotNull() & parsed.isNull(), F.concat(F.lit("invalid input syntax for type json: "), c), F.to_json(parsed))
 
 
 def uuid_bytes(c: Column) -> Column:

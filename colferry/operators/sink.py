@@ -7,6 +7,7 @@ so a retried or lost task leaves nothing behind that counts. A split target is w
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import urllib.request
 import uuid
@@ -28,6 +29,8 @@ from colferry.sources.uri import Uri, parse_uri
 from colferry.types import ARROW_ONLY, SqlType, arrow_type, of_spark, spark_type
 
 BATCH_ROWS = 1024
+#: Below this size one task does the whole export.
+SMALL_BYTES = 64 << 20
 _GZIP = {1: "BEST_SPEED", 2: "TWO", 3: "THREE", 4: "FOUR", 5: "FIVE", 6: "SIX", 7: "SEVEN", 8: "EIGHT", 9: "BEST_COMPRESSION"}
 
 
@@ -141,7 +144,7 @@ def _write_native(df: DataFrame, columns: list[tuple[str, SqlType]], target: Uri
     fs, out = _hadoop(spark, target)
     folder = _hadoop_path(spark, f"{out.getParent()}/.tmp-{uuid.uuid4().hex}")
     wanted = {"spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS", "spark.sql.timeType.enabled": "true", "spark.sql.caseSensitive": "true", "spark.sql.parquet.fieldId.write.enabled": "true", "spark.sql.session.timeZone": "UTC"}
-    writer = named.coalesce(1).write.option("compression", options.compression).option("parquet.block.size", options.row_group_size_bytes).option("parquet.block.row.count.limit", options.row_group_size).option("parquet.page.size.row.check.max", BATCH_ROWS)
+    writer = _one(named, df).write.option("compression", options.compression).option("parquet.block.size", options.row_group_size_bytes).option("parquet.block.row.count.limit", options.row_group_size).option("parquet.page.size.row.check.max", BATCH_ROWS)
     if options.compression == "gzip":
         writer = writer.option("zlib.compress.level", _GZIP[options.compression_level])
     if options.compression == "zstd":
@@ -279,7 +282,7 @@ def _write_arrow(df: DataFrame, columns: list[tuple[str, SqlType]], target: Uri,
     if split:
         stored = stored.coalesce(max(1, min(1 << 20, _expected_bytes(df) // split)))
     else:
-        stored = stored.coalesce(1)
+        stored = _one(stored, df)
     report: list = []
     with conf(spark, {"spark.sql.session.timeZone": "UTC", "spark.sql.timeType.enabled": "true"}):
         try:
@@ -296,6 +299,13 @@ def _write_arrow(df: DataFrame, columns: list[tuple[str, SqlType]], target: Uri,
     return sum(r[3] for r in report)
 
 
+def _one(stored: DataFrame, df: DataFrame) -> DataFrame:
+    """One partition for one file. What comes before still runs in parallel, unless the rows are in order already."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    ordered = re.match(r"(?:(?:Project|SubqueryAlias|Filter)[^\n]*\n[\s:+-]*)*(?:Sort|GlobalLimit)\b", plan)
+    return stored.coalesce(1) if ordered or _expected_bytes(df) < SMALL_BYTES else stored.repartition(1)
+
+
 def _expected_bytes(df: DataFrame) -> int:
     """The optimizer's guess at the size, which bounds how many tasks write a split target."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,9 +102,14 @@ DELEGATED: dict[str, str | tuple[str, str]] = {
 }
 
 
+def _used(sql: str) -> list[str]:
+    return [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
+
+
 def _delegated(sql: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tables(spark, sf_dir)
+        if used := _used(sql):
+            tables(spark, sf_dir, *used)
         session, uri = Session(spark), f"{Scratch(spark).root}/q.parquet"
         session.sql(f"COPY ({sql}) TO '{uri}' WITH (format parquet)")
         return copy_from(spark, relation_of(spark.sql(sql)), uri)
@@ -170,7 +176,7 @@ COERCIONS = {
 
 def _coercion(sql: str, ddl: str, shown: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tables(spark, sf_dir)
+        tables(spark, sf_dir, *_used(sql))
         return shown(_ingest(spark, spark.sql(sql), ddl))
 
     return run
