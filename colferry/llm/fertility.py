@@ -1,8 +1,11 @@
 """Tokeniser fertility: what public vocabularies make of a text, against bands for its language or script.
 
 Measures: characters per token of a byte-level and of a piece vocabulary, share of byte-fallback tokens of the
-latter, entropy of the former's tokens (against the most that so many tokens can have). A text outside a band of its
-language, or of its script where the language is unknown, is rejected. Beside them stand plain counts of words.
+latter, entropy of the former's tokens (against the most that so many tokens can have, up to ENTROPY_FULL). A text
+outside a band of its language, or of its script where the language is unknown, is rejected. There are fixed bands,
+and, where a language has documents enough, bands that the corpus itself gives: characters per token scatter about
+the language's median by 1 / sqrt(tokens), and what lies SPREADS times the usual scatter away is rejected. Medians
+come from grouped histograms over all documents. Beside the measures stand plain counts of words.
 """
 
 from __future__ import annotations
@@ -13,10 +16,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colferry.llm.common import SPACES, byte_bpe, piece_bpe, slices
+from colferry.llm.common import SPACES, Scratch, byte_bpe, piece_bpe, slices
 
 #: Least and most characters a token; most share of byte fallback; least entropy (0 to 1).
 BANDS: dict[str, dict[str, float]] = {
@@ -32,6 +35,11 @@ BANDS: dict[str, dict[str, float]] = {
 }
 #: Entropy says nothing about fewer tokens than these.
 ENTROPY_TOKENS = 32
+ENTROPY_FULL = 1024
+#: Scatter that a text may have, tokens beyond which it narrows no further, documents that a language must have.
+SPREADS, SPREAD_TOKENS, SPREAD_DOCS = 8.0, 2048, 200
+#: Widths of the histograms' bins: of characters a token, and of scatter.
+BIN, SCATTER_BIN = 0.001, 0.01
 #: Words whose pieces a worker remembers (about 200 bytes each).
 CACHE_WORDS = 400_000
 #: The piece vocabulary is smaller, so its lower bound is this share of the band's.
@@ -107,7 +115,7 @@ def measure(text: str, pieces: Pieces) -> tuple:
     n_pieces, fallback = total & 0xFFFFFFFF, total >> 32
     _, each = np.unique(ids, return_counts=True)
     share = each / len(ids)
-    entropy = float(-(share * np.log(share)).sum() / np.log(len(ids))) if len(ids) > 1 else 0.0
+    entropy = float(-(share * np.log(share)).sum() / np.log(min(len(ids), ENTROPY_FULL))) if len(ids) > 1 else 0.0
     return *counts, len(ids), len(text) / len(ids), counts[1] / max(1, n_pieces), fallback / max(1, n_pieces), entropy
 
 
@@ -121,8 +129,29 @@ def in_bands(m: tuple, band: Mapping[str, float]) -> bool:
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, chars_per_piece double, fallback_share double, entropy double, band string"
 
 
+def _medians(rows: DataFrame, value: str, width: float) -> DataFrame:
+    """band, docs and the median of a column to the width of a bin; one row a bin and band is ranked."""
+    bins = rows.groupBy("band", F.floor(F.col(value) / width).alias("bin")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("band").orderBy("bin"))
+    docs = F.sum("n").over(Window.partitionBy("band"))
+    ranked = bins.select("band", "bin", upto.alias("upto"), docs.alias("docs")).where(2 * F.col("upto") >= F.col("docs"))
+    return ranked.groupBy("band").agg((F.min("bin") * width + width / 2).alias(value), F.first("docs").alias("docs"))
+
+
+def usual(measured: DataFrame) -> DataFrame:
+    """band, docs, and for both vocabularies the median and the usual scatter (1.48 x median absolute deviation)."""
+    rows = measured.where("NOT base_failed")
+    out = None
+    for name in ("chars_per_token", "chars_per_piece"):
+        middle = _medians(rows, name, BIN).withColumnRenamed(name, "m")
+        near = rows.join(F.broadcast(middle), "band").select("band", (F.abs(F.col(name) - F.col("m")) * F.sqrt(F.least("n_tokens", F.lit(SPREAD_TOKENS)))).alias("off"))
+        both = middle.join(_medians(near, "off", SCATTER_BIN).drop("docs"), "band").select("band", "docs", F.col("m").alias(f"{name}_m"), (1.4826 * F.col("off")).alias(f"{name}_s"))
+        out = both if out is None else out.join(both.drop("docs"), "band")
+    return out
+
+
 def fertility(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", bands: Mapping[str, Mapping[str, float]] = BANDS) -> DataFrame:
-    """Counts, measures and verdict of every document, in one pass without a shuffle.
+    """Counts, measures and verdict of every document: one pass over the texts, then grouped sums over the measures.
 
     Null or wordless text: no words, base_failed, not kept, measures null. A null or unknown language: the band of the
     text's script. Null ids stay; repeated rows are judged each; an empty table gives none; other columns aren't read.
@@ -142,4 +171,9 @@ def fertility(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), (docs[lang_col] if lang_col else F.lit(None).cast("string")).alias("lang"))
-    return src.mapInArrow(judge, SCHEMA)
+    measured = Scratch(docs.sparkSession).write(src.mapInArrow(judge, SCHEMA), "measured")
+    known = usual(measured).where(F.col("docs") >= SPREAD_DOCS)  # one row a band: at most as many as bands has
+    joined = measured.join(F.broadcast(known), "band", "left")
+    far = lambda n: F.abs(F.col(n) - F.col(f"{n}_m")) * F.sqrt(F.least("n_tokens", F.lit(SPREAD_TOKENS))) > SPREADS * F.col(f"{n}_s")
+    odd = F.coalesce(far("chars_per_token") | far("chars_per_piece"), F.lit(False))
+    return joined.withColumn("kept", F.col("kept") & ~odd).select(*[c.split()[0] for c in SCHEMA.split(", ")])

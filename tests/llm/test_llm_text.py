@@ -82,6 +82,24 @@ def test_fertility_bands():
     assert fert.script("Привет мир") == "Cyrillic" and fert.script("漢字") == "CJK" and fert.script("!?") == "Latin" and fert.script("٣") == "Other"
 
 
+def test_fertility_bands_of_the_corpus(spark, monkeypatch):
+    """Medians and scatter are those of all texts; a text far off for its length is rejected, a short one is not."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(rnd.randint(30, 300))) for _ in range(250)]
+    texts += [" ".join(word().upper() + "#" for _ in range(300)), " ".join(word() for _ in range(40_000))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    found = {r["doc_id"]: r for r in fert.fertility(docs).collect()}
+    assert [i for i, r in found.items() if not r["kept"]] == [250]
+    known = fert.usual(fert.fertility(docs)).first()
+    for name in ("chars_per_token", "chars_per_piece"):
+        values = [(r[name], r["n_tokens"]) for r in found.values()]
+        middle = sorted(v for v, _ in values)[(len(values) - 1) // 2]
+        assert abs(known[f"{name}_m"] - middle) <= fert.BIN
+        off = sorted(abs(v - known[f"{name}_m"]) * min(n, fert.SPREAD_TOKENS) ** 0.5 for v, n in values)[(len(values) - 1) // 2]
+        assert abs(known[f"{name}_s"] - 1.4826 * off) <= 2 * fert.SCATTER_BIN
+
+
 # --- 2 quality ---
 
 
