@@ -102,7 +102,8 @@ def _offsets(c: pa.Array) -> pa.Array:
 def store(df: DataFrame, columns: list[tuple[str, SqlType]]) -> DataFrame:
     """Columns as they are stored, named c0, c1, ..."""
     plain = df.toDF(*[f"c{k}" for k in range(len(columns))])
-    return plain.select(*[to_storage(F.col(f"c{k}"), t).alias(f"c{k}") for k, (_, t) in enumerate(columns)])
+    fit = lambda c, d, t: c.cast(spark_type(t)) if t.kind == "int2" and d != spark_type(t) else c
+    return plain.select(*[to_storage(fit(F.col(f"c{k}"), df.schema[k].dataType, t), t).alias(f"c{k}") for k, (_, t) in enumerate(columns)])
 
 
 def write_parquet(df: DataFrame, uri: str, options: CopyToOptions | None = None) -> int:

@@ -18,7 +18,7 @@ class Scratch:
     """Tables and folders below spark.checkpoint.dir, which survive lost executors.
 
     Only where that setting is missing, as in tests, is a folder of this machine taken.
-    `drop` removes a table whose readers have all finished.
+    `drop` removes a table whose readers have all finished, `keep` all tables but those named.
     """
 
     def __init__(self, spark: SparkSession) -> None:
@@ -33,3 +33,10 @@ class Scratch:
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, *names: str) -> None:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for f in fs.listStatus(root):
+            if f.getPath().getName() not in names:
+                fs.delete(f.getPath(), True)

@@ -211,7 +211,8 @@ def _of_spark(d: T.DataType) -> SqlType:
     if isinstance(d, T.TimeType):
         return SqlType("time")
     names = {T.BooleanType: "bool", T.ShortType: "int2", T.IntegerType: "int4", T.LongType: "int8", T.FloatType: "float4", T.DoubleType: "float8", T.BinaryType: "bytea", T.DateType: "date", T.TimestampNTZType: "timestamp", T.TimestampType: "timestamptz"}
-    return SqlType(next((n for k, n in names.items() if isinstance(d, k)), "text"))
+    # what has no counterpart travels as text
+    return SqlType(next((n for k, n in names.items() if isinstance(d, k)), "text" if isinstance(d, T.StringType) else "other"))
 
 
 def spark_field(c: Column) -> T.StructField:

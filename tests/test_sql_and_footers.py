@@ -58,6 +58,27 @@ def test_r8_counts_and_tables(spark, tmp_path):
         s.sql("COPY a_view TO '/tmp/never.csv'")
 
 
+def test_r8_spark_table(spark, tmp_path):
+    spark.sql(f"CREATE TABLE kept (a BIGINT, b STRING) USING parquet LOCATION '{tmp_path}/kept'")
+    try:
+        s = Session(spark)
+        s.sql(f"COPY (SELECT id AS a, 'x' AS b FROM range(3)) TO '{tmp_path}/k.parquet'")
+        assert s.sql(f"COPY kept FROM '{tmp_path}/k.parquet'") == 3 and s.sql(f"COPY kept(b) FROM '{tmp_path}/k.parquet' WITH (match_by name)") == 3
+        assert sorted(map(str, spark.table("kept").collect())) == sorted(["Row(a=0, b='x')", "Row(a=1, b='x')", "Row(a=2, b='x')"] + ["Row(a=None, b='x')"] * 3)
+        assert s.sql(f"COPY kept TO '{tmp_path}/k2.parquet' (compression gzip)") == 6
+        spark.sql("CREATE VIEW kept_view AS SELECT * FROM kept")
+        with pytest.raises(FerryError, match='cannot copy from view "kept_view"'):
+            s.sql(f"COPY kept_view TO '{tmp_path}/v.parquet'")
+    finally:
+        spark.sql("DROP VIEW IF EXISTS kept_view")
+        spark.sql("DROP TABLE kept")
+
+
+def test_v10_other_types_travel_as_text(spark, tmp_path):
+    copy_to(spark.sql("SELECT INTERVAL '1' YEAR AS y, parse_json('{\"a\": 1}') AS v, NULL AS n, CAST(1 AS BYTE) AS b"), f"{tmp_path}/o.parquet")
+    assert [str(f.type) for f in pq.read_schema(f"{tmp_path}/o.parquet")] == ["string", "string", "string", "int16"]
+
+
 def test_r7_nested_copy(spark, tmp_path):
     """A session's COPY runs inside another's query building: there is no global state."""
     s = Session(spark)
