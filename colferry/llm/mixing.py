@@ -101,6 +101,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         if not state.where("open").head(1):
             break
         state = state.drop("whole", "words", "open", "most")
+    scratch.keep("sized", f"level{level}")
     # the boundary bucket holds one hash now, and is taken if that brings the sum nearer to the rest
     nearer = F.abs(F.col("before") + F.col("words") - F.col("rest")) < F.abs(F.col("before") - F.col("rest"))
     limit = F.when(F.col("whole"), F.lit((1 << HASH_BITS) - 1).cast("long")).when(nearer & (F.col("rounds") < cap), F.col("most")).otherwise(F.col("low") - 1)

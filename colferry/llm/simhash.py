@@ -106,6 +106,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_fp = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = by_fp.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = scratch.write(by_fp.join(least, "root").select("fp", "component_id"), "of_fp")
+    scratch.keep("hashed", "of_fp")
     return hashed.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 

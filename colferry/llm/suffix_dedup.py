@@ -447,7 +447,9 @@ def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["doc", "version", "spans"])
 
     lists = found.unionByName(again).groupBy("doc", "version").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return scratch.write(lists.mapInArrow(join, "doc long, version long, spans binary"), "spans")
+    spans = scratch.write(lists.mapInArrow(join, "doc long, version long, spans binary"), "spans")
+    scratch.keep("spans")
+    return spans
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
