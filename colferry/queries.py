@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colferry.functions.footer import inspect, inspect_many, register
+from colferry.operators.access import ROLES, AccessPolicy
 from colferry.operators.copy_from import copy_from, copy_from_program, copy_from_stream
-from colferry.operators.copy_to import copy_to, copy_to_program, copy_to_stream
-from colferry.plans.copy_sql import Session
+from colferry.operators.copy_to import copy_to, copy_to_program, copy_to_stream, select_relation
+from colferry.plans.copy_sql import Session, parse_copy
 from colferry.scratch import Scratch
 from colferry.sources.uri import list_files
+from colferry.streaming.copy_stream import copy_stream_to, read_stream
 from colferry.types import Column, Relation, SqlType, of_spark, parse_type
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -279,6 +281,41 @@ def sink_api(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copy_from(spark, relation_of(df), uri)
 
 
+@query("SELECT * FROM part")
+def parquet_v2_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return there_and_back(spark, spark.read.parquet(f"{sf_dir}/part.parquet"), {"parquet_version": "v2", "compression": "zstd", "compression_level": 5})
+
+
+@query("SELECT * FROM supplier")
+def gzip_level_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return there_and_back(spark, spark.read.parquet(f"{sf_dir}/supplier.parquet"), {"compression": "gzip", "compression_level": 9})
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_nationkey < 5")
+def copy_table_row_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    relation = Relation("customer", relation_of(rows).columns, row_policy="c_nationkey < 5")
+    return there_and_back(spark, select_relation(relation, rows, ["c_custkey", "c_name", "c_mktsegment"], AccessPolicy(False, frozenset(ROLES))))
+
+
+@query("SELECT c_name, c_custkey FROM customer WHERE c_custkey % 2 = 0")
+def copy_sql_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir, "customer")
+    session, uri = Session(spark), f"{Scratch(spark).root}/c.parquet.zst"
+    session.sql(f"COPY customer (c_custkey, c_name) TO '{uri}' (row_group_size 500)")
+    session.declare("target", "c_name text not null, c_custkey int8")
+    return session.read(parse_copy(f"COPY target FROM '{uri}' WITH (match_by 'name') WHERE c_custkey % 2 = 0"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def stream_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, df = Scratch(spark).root, spark.read.parquet(f"{sf_dir}/nation.parquet")
+    for k in range(3):
+        copy_to(df.where(F.col("n_nationkey") % 3 == k), f"{root}/in/f{k}.parquet")
+    copy_stream_to(read_stream(spark, relation_of(df), f"{root}/in", 1), f"{root}/out", f"{root}/check", once=True).awaitTermination()
+    return copy_from(spark, relation_of(df), f"{root}/out/*.parquet")
+
+
 # --- footers and listings ---
 
 
@@ -291,14 +328,20 @@ def _exported(spark: SparkSession, sf_dir: str, table: str, options: dict | None
 _STATS = {
     "orders": (("o_orderkey", "int"), ("o_custkey", "int"), ("o_orderstatus", "text"), ("o_totalprice", "double"), ("o_orderdate", "timestamp"), ("o_orderpriority", "text")),
     "customer": (("c_custkey", "int"), ("c_name", "text"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "text")),
+    "supplier": (("s_suppkey", "int"), ("s_name", "text"), ("s_nationkey", "int"), ("s_acctbal", "double")),
+    "lineitem": (
+        ("l_orderkey", "int"), ("l_partkey", "int"), ("l_suppkey", "int"), ("l_linenumber", "int"), ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"),
+        ("l_returnflag", "text"), ("l_linestatus", "text"), ("l_shipdate", "timestamp"),
+    ),
     "part": (("p_partkey", "int"), ("p_name", "text"), ("p_brand", "text"), ("p_type", "text"), ("p_size", "int"), ("p_retailprice", "double")),
 }
 
 
 def _stats_sql(table: str) -> str:
     text = {"int": "CAST({} AS VARCHAR)", "text": "{}", "double": "regexp_replace(CAST({} AS VARCHAR), '\\.0$', '')", "timestamp": "strftime({}, '%Y-%m-%d %H:%M:%S')"}
+    low = {**text, "double": "CASE WHEN {0} = 0 THEN '-0' ELSE regexp_replace(CAST({0} AS VARCHAR), '\\.0$', '') END"}  # a footer's least zero is the negative one
     return " UNION ALL ".join(
-        f"SELECT {k} AS column_id, {k} AS field_id, {text[t].format(f'min({c})')} AS stats_min, {text[t].format(f'max({c})')} AS stats_max, count(*) - count({c}) AS stats_null_count, CAST(NULL AS BIGINT) AS stats_distinct_count FROM {table}"
+        f"SELECT {k} AS column_id, {k} AS field_id, {low[t].format(f'min({c})')} AS stats_min, {text[t].format(f'max({c})')} AS stats_max, count(*) - count({c}) AS stats_null_count, CAST(NULL AS BIGINT) AS stats_distinct_count FROM {table}"
         for k, (c, t) in enumerate(_STATS[table])
     )
 
@@ -337,6 +380,36 @@ def file_metadata_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect(spark, "file_metadata", _exported(spark, sf_dir, "customer", {"row_group_size": 400, "compression": "brotli"})).select("num_rows", "num_row_groups")
 
 
+@query("SELECT CAST(g AS BIGINT) AS row_group_id, CAST(least(500, n - g * 500) AS BIGINT) AS num_rows FROM (SELECT count(*) AS n FROM customer) t, LATERAL (SELECT unnest(range(CAST(ceil(n / 500.0) AS BIGINT))) AS g) r")
+def row_groups_by_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inspect(spark, "metadata", _exported(spark, sf_dir, "customer", {"row_group_size": 500}))
+    return rows.where("column_id = 0").select("row_group_id", F.col("row_group_num_rows").alias("num_rows"))
+
+
+@query("SELECT * FROM (VALUES ('.parquet', 'SNAPPY'), ('.parquet.snappy', 'SNAPPY'), ('.parquet.gz', 'GZIP'), ('.parquet.lz4', 'LZ4'), ('.parquet.br', 'BROTLI'), ('.parquet.zst', 'ZSTD')) v(extension, compression)")
+def codec_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for extension in (".parquet", ".parquet.snappy", ".parquet.gz", ".parquet.lz4", ".parquet.br", ".parquet.zst"):
+        rows = inspect(spark, "metadata", _exported(spark, sf_dir, "region", name="r" + extension)).where("column_id = 0").select(F.lit(extension).alias("extension"), "compression")
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+@query("SELECT * FROM (VALUES ('k', 7), ('s', 10), ('x', NULL), ('a', 11), ('element', 12)) v(name, field_id)")
+def field_ids_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey AS k", "named_struct('x', n_regionkey, 'a', array(n_name)) AS s")
+    uri = f"{Scratch(spark).root}/ids.parquet"
+    copy_to(df, uri, {"field_ids": '{"k": 7, "s": {"__root_field_id": 10, "a": {"__root_field_id": 11, "element": 12}}}'})
+    return inspect(spark, "schema", uri).where("name NOT IN ('arrow_schema', 'list')").select("name", "field_id")
+
+
+@query("SELECT count(*) AS num_rows FROM lineitem")
+def split_footers_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = f"{Scratch(spark).root}/split.parquet"
+    copy_to(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), uri, {"file_size_bytes": "1MB"})
+    return inspect_many(spark, "file_metadata", [u for u, _ in list_files(spark, f"{uri}/data_*.parquet")]).agg(F.sum("num_rows").alias("num_rows"))
+
+
 @query("SELECT 'geo' AS key, '{\"version\": \"1.1.0\", \"primary_column\": \"g\", \"columns\": {\"g\": {\"encoding\": \"WKB\", \"geometry_types\": [\"Point\"]}}}' AS value")
 def kv_metadata_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.unhex(F.lit("0101000000000000000000F03F0000000000000040")).alias("g", metadata={"sql_type": "geometry(Point)"}))
