@@ -339,7 +339,7 @@ _STATS = {
 
 def _stats_sql(table: str) -> str:
     text = {"int": "CAST({} AS VARCHAR)", "text": "{}", "double": "regexp_replace(CAST({} AS VARCHAR), '\\.0$', '')", "timestamp": "strftime({}, '%Y-%m-%d %H:%M:%S')"}
-    low = {**text, "double": "CASE WHEN {0} = 0 THEN '-0' ELSE regexp_replace(CAST({0} AS VARCHAR), '\\.0$', '') END"}  # a footer's least zero is the negative one
+    low = {**text, "double": "CASE WHEN {0} = 0 THEN '0' ELSE regexp_replace(CAST({0} AS VARCHAR), '\\.0$', '') END"}  # zero has two signs, footers hold either
     return " UNION ALL ".join(
         f"SELECT {k} AS column_id, {k} AS field_id, {low[t].format(f'min({c})')} AS stats_min, {text[t].format(f'max({c})')} AS stats_max, count(*) - count({c}) AS stats_null_count, CAST(NULL AS BIGINT) AS stats_distinct_count FROM {table}"
         for k, (c, t) in enumerate(_STATS[table])
