@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from colferry.llm.common import byte_bpe, slices
+from colferry.llm.common import byte_bpe, slices, small_batches
 
 ROLES = ("system", "user", "assistant", "tool")
 FIRST_ID = 50257
@@ -99,7 +99,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
                 lists = lambda rows, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate([*rows, np.zeros(0, rows[0].dtype if rows else np.int32)]), kind))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.string()), lists(cols[1], pa.int32()), lists(cols[2], pa.int8()), pa.array(cols[3], pa.int64())], names=["conv_id", "turn", "formatted", "ids", "mask", "start"])
 
-    src = conversations.select(*[conversations[c].cast(t) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))])
+    src = small_batches(conversations).select(*[conversations[c].cast(t) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))])
     return src.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(turns, SCHEMA)
 
 

@@ -13,12 +13,22 @@ from colferry.scratch import Scratch  # noqa: F401
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 SPACES = " \t\n\x0b\x0c\r"
 SPECIAL = "<|endoftext|>"
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lowers the session's Arrow batches to BATCH_BYTES: at the default, a few of them fill a small executor."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(df.sparkSession.conf.get(key)).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def slices(batch, max_bytes: int = 8 << 20) -> Iterator:
     """Row ranges of an Arrow batch of about max_bytes each, so that long texts don't meet in memory."""
     rows = max(1, int(batch.num_rows * max_bytes / max(1, batch.nbytes)))

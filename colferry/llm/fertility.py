@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colferry.llm.common import SPACES, Scratch, byte_bpe, piece_bpe, slices
+from colferry.llm.common import SPACES, Scratch, byte_bpe, piece_bpe, slices, small_batches
 
 #: Least and most characters a token; most share of byte fallback; least entropy (0 to 1).
 BANDS: dict[str, dict[str, float]] = {
@@ -170,7 +170,7 @@ def fertility(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] + [pa.float64()] * 4 + [pa.string()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), (docs[lang_col] if lang_col else F.lit(None).cast("string")).alias("lang"))
+    src = small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), (docs[lang_col] if lang_col else F.lit(None).cast("string")).alias("lang"))
     measured = Scratch(docs.sparkSession).write(src.mapInArrow(judge, SCHEMA), "measured")
     known = usual(measured).where(F.col("docs") >= SPREAD_DOCS)  # one row a band: at most as many as bands has
     joined = measured.join(F.broadcast(known), "band", "left")

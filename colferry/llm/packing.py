@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colferry.llm.common import SPECIAL, Scratch, byte_bpe, byte_bpe_json, slices
+from colferry.llm.common import SPECIAL, Scratch, byte_bpe, byte_bpe_json, slices, small_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -132,7 +132,7 @@ def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)] + [pa.array(ids, pa.binary())] * with_ids, names=names)
 
-    src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    src = small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return src.mapInArrow(tokenize, PIECES + ", ids binary" * with_ids)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colferry.llm.common import Scratch, slices
+from colferry.llm.common import Scratch, slices, small_batches
 
 #: Labelled documents that the model is fitted on at most (those with the least hash of their id).
 SAMPLE_ROWS = 4000
@@ -83,7 +83,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for batch in slices(whole):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t or "").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["y", "x"])
 
-    joined = docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].alias("t")).join(F.broadcast(known), "__id")
+    joined = small_batches(docs).select(docs[id_col].cast("long").alias("__id"), docs[text_col].alias("t")).join(F.broadcast(known), "__id")
     rows = joined.select(F.col("__y").cast("int").alias("y"), "t").mapInArrow(vectors, "y int, x binary").orderBy("y", "x").limit(sample_rows).collect()
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, SIZE)
     return fit(x, np.array([r["y"] > 0 for r in rows], np.float64))
@@ -113,7 +113,7 @@ def classify(
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(weights)  # a thousand numbers
     group = lambda c: F.coalesce(docs[c].cast("string"), F.lit("\0null")) if c else F.lit("")
-    src = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[text_col].alias("__t"), group(host_col).alias("__h"), group(path_col).alias("__p"))
+    src = small_batches(docs).select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[text_col].alias("__t"), group(host_col).alias("__h"), group(path_col).alias("__p"))
 
     def evidence(texts: pa.Array) -> pa.Array:
         w = model.value

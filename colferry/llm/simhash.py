@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colferry.llm.common import Scratch, slices
+from colferry.llm.common import Scratch, slices, small_batches
 from colferry.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fps = np.array([fingerprint(t or "", shingle) for t in batch.column(1).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(hash_rows, "doc_id long, fp long")
+    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(hash_rows, "doc_id long, fp long")
 
 
 def _submasks(mask: int) -> list[int]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colferry.llm.common import Scratch, slices
+from colferry.llm.common import Scratch, slices, small_batches
 from colferry.llm.suffix_sort import Store, suffixes
 
 MATCH, K = 100, 32
@@ -135,7 +135,8 @@ def repeated_places(docs: DataFrame, buckets: int) -> DataFrame:
                 # copies within the batch are known to be repeated: they go along, wherever there is room
                 rows["twice"][again] = 2
                 rest = [rows[again[k : k + 4096]].tobytes() for k in range(0, len(again), 4096)]
-                yield _rows(SENT, [*some.tolist(), *((int(some[0]) + k) % buckets for k in range(len(rest)))], [*blobs, *rest])
+                begin = int(rows["hash"][0] % np.uint64(buckets))
+                yield _rows(SENT, [*some.tolist(), *((begin + k) % buckets for k in range(len(rest)))], [*blobs, *rest])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
@@ -419,7 +420,7 @@ def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc, version, spans (packed RUN records, disjoint): bytes covered by a string that also starts earlier."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    src = docs.select(_key(docs[id_col]).alias("doc"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    src = small_batches(docs).select(_key(docs[id_col]).alias("doc"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     src = src.withColumn("version", F.xxhash64("text"))
     again = copies(src, scratch)
     few = again.count() <= BROADCAST_COPIES

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from colferry.llm.common import small_batches
+
 #: (rule, verdict): host, then the path's beginning. A rule fits its host and all subdomains.
 HOST_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Globs over the canonical URL that block where no host rule decides.
@@ -138,6 +140,6 @@ def judge_urls(
             cols = [batch.column(0), pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string())]
             yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x, pa.string()) for x in (rule, verdict, glob))], names=names)
 
-    src = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"))
+    src = small_batches(pages).select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"))
     names = ["page_id", "host", "path", "rule", "verdict", "glob"]
     return src.mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string, glob string")

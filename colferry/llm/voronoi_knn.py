@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colferry.llm.common import Scratch
+from colferry.llm.common import Scratch, small_batches
 
 TOP, SCALE, EVERY = 5, 256, 50
 #: Queries to a pivot aimed at, and pivots at most; vectors and queries to a block.
@@ -43,7 +43,7 @@ def integers(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
                 data.append(np.clip(x, -LARGEST, LARGEST).astype(np.int64).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(data, pa.binary())], names=["vec_id", "dim", "v"])
 
-    return vectors.select(vectors[id_col].cast("long").alias("i"), vectors[vec_col].alias("v")).mapInArrow(convert, "vec_id long, dim int, v binary")
+    return small_batches(vectors).select(vectors[id_col].cast("long").alias("i"), vectors[vec_col].alias("v")).mapInArrow(convert, "vec_id long, dim int, v binary")
 
 
 def matrix(column, dim: int) -> np.ndarray:

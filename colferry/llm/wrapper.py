@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colferry.llm.common import Scratch, slices
+from colferry.llm.common import Scratch, slices, small_batches
 from colferry.llm.url_rules import host_path
 
 _RAW = "script|style|noscript|template|textarea|title|select|svg|math|iframe|object|canvas|video|audio"
@@ -296,7 +296,7 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
             both = w if both is None else merge(both, w)
         return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(both)]})
 
-    src = pages.select(pages[url_col].alias("url"), pages[html_col].alias("html"))
+    src = small_batches(pages).select(pages[url_col].alias("url"), pages[html_col].alias("html"))
     return src.mapInArrow(align, "host string, wrapper string").groupBy("host").applyInPandas(together, "host string, wrapper string")
 
 
