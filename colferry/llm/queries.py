@@ -68,6 +68,41 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+_CONTROLS = r"### (?:System|User|Assistant|Tool):|### \[|\]:\n|</turn>|<\|"
+OP3_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '{PLANTED}' FROM range(2) r(k)
+), m AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '{_CONTROLS}')) + 9
+    + CASE WHEN role IN ('system', 'user', 'assistant', 'tool') THEN length(role) + 6 ELSE 8 + length(role) + len(regexp_extract_all(role, '{_CONTROLS}')) END AS shown
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(shown) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM documents
+), w AS (SELECT doc_id, unnest(range(greatest(0, len(h) // 2 - 99))) AS i, h FROM d
+), s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM w
+), f AS (SELECT s, min(CAST(doc_id AS HUGEINT) * 4294967296 + i) AS first FROM s GROUP BY s HAVING count(*) > 1
+), c AS (SELECT doc_id, i FROM s JOIN f USING (s) WHERE CAST(doc_id AS HUGEINT) * 4294967296 + i > first
+), n AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS new FROM c
+), g AS (SELECT doc_id, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM n
+), r AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, span
+), p AS (SELECT doc_id, span, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY span), 0) AS before FROM r
+), k AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY span) AS head
+  FROM p JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 OP4_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
@@ -137,4 +172,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_voronoi_knn": OP4_SQL, "op7_source_mixing": OP7_SQL, "op9_url_filter": OP9_SQL}
+    return {"op3_chat_format": OP3_SQL, "op4_voronoi_knn": OP4_SQL, "op7_source_mixing": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_suffix_array": OP10_SQL}
