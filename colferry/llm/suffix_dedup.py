@@ -432,8 +432,7 @@ def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shards = max(1, -(-places.count() * (MATCH + WINDOW) // SHARD_BYTES))
     # by shuffle at any size: so the cost follows the input
     cut = segments(src.hint("merge").join(by_doc, "doc").select("doc", "text", "version", "places"), shards)
-    found = scratch.write(sort_shards(cut, shards), "covered")
-    scratch.drop("places")
+    found = sort_shards(cut, shards)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
