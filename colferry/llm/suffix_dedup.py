@@ -6,8 +6,11 @@ that occur twice in the corpus matter; the text around them (so long that every
 is what a shard sorts, by external induced sorting. Neighbours with a common prefix of MATCH bytes form a run of
 equal strings, of which all but the first in the corpus are covered.
 
-Whole copies of a document are told by their hash first, and only the first of them goes on. Shuffled are then: one
-hash an anchor (copies within a batch are told at once and sent once), the places of repeated anchors, the documents
+A string of MATCH bytes also holds the BESIDE bytes before its anchor or those behind it. So an anchor counts by its
+two longer strings, and what is common but short (a licence line) brings no text into any shard.
+
+Whole copies of a document are told by their hash first, and only the first of them goes on. Shuffled are then: two
+hashes an anchor (copies within a batch are told at once and sent once), the places of repeated anchors, the documents
 that have such places, and the segments of text around them, each distinct text once a task.
 """
 
@@ -26,8 +29,8 @@ from colferry.llm.common import Scratch, slices, small_batches
 from colferry.llm.suffix_sort import Store, suffixes
 
 MATCH, K = 100, 32
-#: K-byte places in a string.
-WINDOW = MATCH - K + 1
+#: K-byte places in a string; bytes beside an anchor that its two longer strings have.
+WINDOW, BESIDE = MATCH - K + 1, (MATCH - K) // 2
 #: Bytes of segments that a shard is planned for, and that a task keeps to tell copies before it sends them.
 SHARD_BYTES, HELD_BYTES = 8 << 20, 16 << 20
 #: Bytes of a shard's text, and segments to tell copies among, that a task keeps in memory.
@@ -72,6 +75,19 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, np.flatnonzero(most == h)
 
 
+def sides(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, codes) of the anchors' longer strings: code 2 p of the one before p, 2 p + 1 of the one behind it.
+
+    K-byte hashes at three places cover each of them.
+    """
+    left, right = at[at >= BESIDE], at[at + BESIDE < len(h)]
+    with np.errstate(over="ignore"):
+        a = (h[left] * _ODD ^ h[left - BESIDE]) * _ODD + h[left - BESIDE + K]
+        b = (h[right] * _ODD ^ h[right + BESIDE]) * _ODD - h[right + K]
+        both = np.concatenate([a ^ a >> np.uint64(31), ~(b ^ b >> np.uint64(31))]) * _ODD
+    return both, np.concatenate([2 * left, 2 * right + 1])
+
+
 def reach(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last start of the strings whose anchor is at each place."""
     low, high = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
@@ -98,15 +114,15 @@ def _rows(kinds: str, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(cols, names)], names=[n for n, _ in names])
 
 
-ANCHOR = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("twice", "u1")])
+ANCHOR = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("twice", "u1")])
 SENT = "bucket int, anchors binary"
-PLACES = "doc long, at int"
+PLACES = "doc long, at long"
 SEGMENTS = "shard int, doc long, version long, start long, starts int, segment binary"
 COVERED = "doc long, version long, start long, end long"
 
 
 def repeated_places(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc, at) of the anchors whose hash occurs at least twice."""
+    """(doc, at) of the anchors' longer strings that occur at least twice; at: their codes."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -114,8 +130,9 @@ def repeated_places(docs: DataFrame, buckets: int) -> DataFrame:
                 found = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     h, at = anchors(np.frombuffer((text or "").encode(), np.uint8))
-                    rows = np.zeros(len(at), ANCHOR)
-                    rows["hash"], rows["doc"], rows["at"] = h[at], doc, at
+                    keys, codes = sides(h, at)
+                    rows = np.zeros(len(codes), ANCHOR)
+                    rows["hash"], rows["doc"], rows["at"] = keys, doc, codes
                     found.append(rows)
                 rows = np.concatenate(found) if found else np.zeros(0, ANCHOR)
                 if not len(rows):
@@ -206,20 +223,25 @@ def segments(docs: DataFrame, shards: int) -> DataFrame:
                 for k, (doc, text, version) in enumerate(zip(*columns)):
                     raw = text.encode()
                     h, at = anchors(np.frombuffer(raw, np.uint8))
-                    at = at[np.isin(at, places[ends[k] : ends[k + 1]])]
+                    own = places[ends[k] : ends[k + 1]]
+                    before, behind = np.isin(2 * at, own), np.isin(2 * at + 1, own)
+                    at, before, behind = (x[before | behind] for x in (at, before, behind))
                     low, high = reach(h, at)
+                    high = np.where(behind, high, np.minimum(high, at - BESIDE))
+                    low = np.where(before, low, np.maximum(low, at - BESIDE + 1))
+                    at, low, high = (x[low <= high] for x in (at, low, high))
                     shard = (h[at] >> np.uint64(20)).astype(np.int64) % shards
                     for s, a, n in zip(shard.tolist(), low.tolist(), (high - low + 1).tolist()):
                         piece = raw[a : a + n - 1 + MATCH]
-                        own = (s, doc, version, a, n)
+                        this = (s, doc, version, a, n)
                         other = held.get(piece)
                         if other is None:
-                            held[piece] = own
+                            held[piece] = this
                             size += len(piece) + 250
-                        elif own[1:4] != other[1:4]:
-                            if own[1:4] < other[1:4]:
-                                held[piece], own = own, other
-                            extra.append(own[1:])
+                        elif this[1:4] != other[1:4]:
+                            if this[1:4] < other[1:4]:
+                                held[piece], this = this, other
+                            extra.append(this[1:])
                             size += 150
                 if size > HELD_BYTES:
                     yield send()
@@ -429,7 +451,7 @@ def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     places = scratch.write(repeated_places(src, 4 * parts), "places")
     by_doc = places.groupBy("doc").agg(F.collect_set("at").alias("places"))  # some thirtieth of a document's bytes
-    shards = max(1, -(-places.count() * (MATCH + WINDOW) // SHARD_BYTES))
+    shards = max(1, -(-places.count() * (MATCH + BESIDE) // SHARD_BYTES))
     # by shuffle at any size: so the cost follows the input
     cut = segments(src.hint("merge").join(by_doc, "doc").select("doc", "text", "version", "places"), shards)
     found = sort_shards(cut, shards)

@@ -315,6 +315,15 @@ def test_anchors_are_shared():
     assert found[0] == found[1] == found[2] and all(names for _, names in found[0])
 
 
+def test_short_lines_bring_no_segments(spark):
+    """A line below MATCH bytes in every document is no candidate; one of MATCH bytes is."""
+    rnd = random.Random(6)
+    noise = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(300))
+    for line, found in (("Released under some licence to all.", False), ("x" + noise()[:140], True)):
+        docs = spark.createDataFrame([(i, noise() + line + noise()) for i in range(30)], "doc long, text string")
+        assert (suffix_dedup.repeated_places(docs, 8).count() > 0) == found
+
+
 # --- pipeline ---
 
 
