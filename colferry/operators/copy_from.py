@@ -16,7 +16,8 @@ from colferry.errors import FerryError
 from colferry.operators.access import ALLOW_ALL, AccessPolicy
 from colferry.operators.match import match
 from colferry.options import CopyFromOptions
-from colferry.sources.scan import file_groups, scan
+from colferry.scratch import Scratch
+from colferry.sources.scan import file_groups, open_fs, scan
 from colferry.sources.uri import parse_uri, resolve
 from colferry.types import TYPE_KEY, Relation, spark_type
 
@@ -60,11 +61,14 @@ def copy_from(
     return rows.where(where) if where else rows
 
 
-def copy_from_stream(spark: SparkSession, relation: Relation, stream: BinaryIO, options: Mapping[str, object] | None = None, folder: str | None = None, **more) -> DataFrame:
-    """From bytes, spooled to a file in chunks of STREAM_BYTES; folder: a place that executors see, where they aren't local."""
-    with tempfile.NamedTemporaryFile(prefix="colferry-", suffix=".parquet", dir=folder, delete=False) as spool:  # rows are read later
+def copy_from_stream(spark: SparkSession, relation: Relation, stream: BinaryIO, options: Mapping[str, object] | None = None, **more) -> DataFrame:
+    """From bytes, spooled to the shared folder in chunks of STREAM_BYTES, as the rows are read later."""
+    uri = f"{Scratch(spark).root}/in.parquet"
+    fs, path = open_fs(parse_uri(uri))
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(path) as spool:
         shutil.copyfileobj(stream, spool, STREAM_BYTES)
-    return copy_from(spark, relation, spool.name, options, policy=ALLOW_ALL, **more)
+    return copy_from(spark, relation, uri, options, policy=ALLOW_ALL, **more)
 
 
 def copy_from_program(spark: SparkSession, relation: Relation, command: str, options: Mapping[str, object] | None = None, policy: AccessPolicy = ALLOW_ALL, **more) -> DataFrame:

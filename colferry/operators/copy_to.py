@@ -15,6 +15,8 @@ from colferry.errors import FerryError
 from colferry.operators.access import ALLOW_ALL, AccessPolicy
 from colferry.operators.sink import write_parquet
 from colferry.options import CopyToOptions
+from colferry.scratch import Scratch
+from colferry.sources.scan import open_fs
 from colferry.sources.uri import parse_uri
 from colferry.types import Relation
 
@@ -46,14 +48,16 @@ def copy_to(df: DataFrame, uri: str, options: Mapping[str, object] | CopyToOptio
 
 
 def copy_to_stream(df: DataFrame, stream: BinaryIO, options: Mapping[str, object] | None = None) -> int:
-    """The file as bytes, in chunks of STREAM_BYTES; it is written next to the driver first."""
+    """The file as bytes, in chunks of STREAM_BYTES; it is written to the shared folder first."""
     parsed = CopyToOptions.parse(options)
     if parsed.file_size_bytes:
         raise FerryError("file_size_bytes is not supported for streams and programs")
-    with tempfile.TemporaryDirectory(prefix="colferry-") as folder:
-        rows = write_parquet(df, f"{folder}/out.parquet", parsed)
-        with open(f"{folder}/out.parquet", "rb") as f:
-            shutil.copyfileobj(f, stream, STREAM_BYTES)
+    uri = f"{Scratch(df.sparkSession).root}/out.parquet"
+    rows = write_parquet(df, uri, parsed)
+    fs, path = open_fs(parse_uri(uri))
+    with fs.open_input_stream(path) as f:
+        shutil.copyfileobj(f, stream, STREAM_BYTES)
+    fs.delete_file(path)
     return rows
 
 

@@ -6,9 +6,7 @@ so a retried or lost task leaves nothing behind that counts. A split target is w
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
 import urllib.request
 import uuid
 from collections.abc import Iterator
@@ -24,6 +22,7 @@ from colferry.errors import FerryError
 from colferry.functions.convert import to_storage
 from colferry.functions.geo import geo_metadata
 from colferry.options import CopyToOptions, assign_field_ids, children
+from colferry.scratch import Scratch
 from colferry.sources.scan import open_fs
 from colferry.sources.uri import Uri, parse_uri
 from colferry.types import ARROW_ONLY, SqlType, arrow_type, of_spark, spark_type
@@ -123,11 +122,13 @@ def _put(df: DataFrame, target: Uri, options: CopyToOptions) -> int:
     """Over HTTP: written here first, then sent."""
     if options.file_size_bytes:
         raise FerryError("file_size_bytes is not supported for http(s) targets")
-    with tempfile.TemporaryDirectory(prefix="colferry-") as folder:
-        rows = write_parquet(df, f"{folder}/out.parquet", options)
-        with open(f"{folder}/out.parquet", "rb") as body:
-            request = urllib.request.Request(target.text, body, {"Content-Length": str(os.path.getsize(body.name))}, method="PUT")
-            urllib.request.urlopen(request).close()
+    uri = f"{Scratch(df.sparkSession).root}/out.parquet"
+    rows = write_parquet(df, uri, options)
+    fs, path = open_fs(parse_uri(uri))
+    with fs.open_input_stream(path) as body:
+        request = urllib.request.Request(target.text, body, {"Content-Length": str(fs.get_file_info(path).size)}, method="PUT")
+        urllib.request.urlopen(request).close()
+    fs.delete_file(path)
     return rows
 
 

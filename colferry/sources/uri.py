@@ -17,7 +17,7 @@ from colferry.errors import FerryError
 
 @dataclass(frozen=True)
 class Uri:
-    """scheme: file, s3, azure, gs, http or https; path: key or local path, without the bucket."""
+    """scheme: file, s3, azure, gs, http, https or hadoop (then account is Hadoop's own scheme); path: key or local path."""
 
     text: str
     scheme: str
@@ -36,6 +36,8 @@ class Uri:
             return f"abfss://{self.bucket}@{self.account or os.environ.get('AZURE_STORAGE_ACCOUNT', '')}.dfs.core.windows.net/{self.path}"
         if self.scheme == "gs":
             return f"gs://{self.bucket}/{self.path}"
+        if self.scheme == "hadoop":
+            return f"{self.account}://{self.bucket}/{self.path}"
         return self.text
 
     @property
@@ -63,6 +65,8 @@ def parse_uri(text: str) -> Uri:
         return Uri(text, "gs", host, path)
     if scheme in ("az", "azure"):
         return Uri(text, "azure", host, path)
+    if scheme in ("hdfs", "viewfs", "abfss", "abfs"):
+        return Uri(text, "hadoop", host, path, scheme)
     if scheme in ("http", "https"):
         if m := re.fullmatch(r"(?:(.+)\.)?s3(?:[.-][\w-]+)?\.amazonaws\.com", host):
             bucket, key = (m[1], path) if m[1] else (path.partition("/")[0], path.partition("/")[2])

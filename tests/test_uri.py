@@ -19,6 +19,7 @@ def test_c1_to_c5_parse(monkeypatch):
     for text in ("az://c/k", "azure://c/k", "https://acct.blob.core.windows.net/c/k"):
         assert parse_uri(text).hadoop == "abfss://c@acct.dfs.core.windows.net/k"
     assert parse_uri("gs://b/k").hadoop == "gs://b/k" and parse_uri("https://h.org/x").scheme == "https"
+    assert parse_uri("hdfs://n:8020/a/b").hadoop == "hdfs://n:8020/a/b"
     with pytest.raises(FerryError):
         parse_uri("http://h.org/x")
     monkeypatch.setenv("ALLOW_HTTP", "true")
