@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import base64
+import os
 import tempfile
 import urllib.request
 from collections.abc import Iterator
@@ -33,6 +35,7 @@ def open_fs(uri: Uri) -> tuple[pafs.FileSystem, str]:
         return pafs.S3FileSystem(**{k: conf[v] for k, v in keys.items() if v in conf}), f"{uri.bucket}/{uri.path}"
     if uri.scheme in ("http", "https"):
         spool = tempfile.NamedTemporaryFile(prefix="colferry-", suffix=".parquet", delete=False)
+        atexit.register(lambda: os.path.exists(spool.name) and os.remove(spool.name))  # private to this process
         with urllib.request.urlopen(uri.text) as source, spool:
             while chunk := source.read(65_536):
                 spool.write(chunk)
