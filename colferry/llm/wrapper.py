@@ -17,6 +17,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,8 @@ TEMPLATE_PAGES = 3
 #: Share of the variable text that the element of the main text must hold.
 MAIN_SHARE = 0.6
 BROADCAST_BYTES = 16 << 20
+#: Tasks whose wrappers of a host are merged before all are.
+TOGETHER = 256
 
 #: Node: [label, kids]; slot: ["#", text or None, pages, characters]; kid: [node or slot, optional, repeated].
 
@@ -277,27 +280,31 @@ def extract(page: str | None, known: list | None) -> str:
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, wrapper (JSON): each task aligns its own pages of a host, then the tasks' wrappers are aligned.
 
-    What is shuffled is one wrapper a task and host, whatever the number of pages; so a hot host meets in one task as
-    a few wrappers only.
+    What is shuffled is one wrapper a task and host, whatever the number of pages. They are merged by TOGETHER tasks
+    first, so that a hot host meets in one task as few wrappers.
     """
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list] = {}
+        part = TaskContext.get().partitionId() // TOGETHER
         for whole in batches:
             for batch in slices(whole):
                 for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     host, own = host_path(url)[0], wrapper(parse(page or ""))
                     known[host] = merge(known[host], own) if host in known else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array([json.dumps(w) for w in known.values()], pa.string())], names=["host", "wrapper"])
+        columns = [pa.array(list(known), pa.string()), pa.array([part] * len(known), pa.int32()), pa.array([json.dumps(w) for w in known.values()], pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "part", "wrapper"])
 
     def together(rows: pd.DataFrame) -> pd.DataFrame:
         both = None
         for w in map(json.loads, sorted(rows["wrapper"])):
             both = w if both is None else merge(both, w)
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(both)]})
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "part": [int(rows["part"].iloc[0])], "wrapper": [json.dumps(both)]})
 
     src = small_batches(pages).select(pages[url_col].alias("url"), pages[html_col].alias("html"))
-    return src.mapInArrow(align, "host string, wrapper string").groupBy("host").applyInPandas(together, "host string, wrapper string")
+    schema = "host string, part int, wrapper string"
+    partly = src.mapInArrow(align, schema).groupBy("host", "part").applyInPandas(together, schema)
+    return partly.groupBy("host").applyInPandas(together, schema).select("host", "wrapper")
 
 
 def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
