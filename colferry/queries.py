@@ -80,7 +80,7 @@ DELEGATED: dict[str, str | tuple[str, str]] = {
     "copy_query_anti_join": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "copy_query_theta_join": "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "copy_query_scalar_subquery": "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)",
-    "copy_query_window_rank": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS dr FROM orders",
+    "copy_query_window_rank": "SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS rn, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS BIGINT) AS dr FROM orders",
     "copy_query_window_frame": "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n3, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events",
     "copy_query_union_all": "SELECT c_custkey AS k, c_nationkey AS n FROM customer UNION ALL SELECT s_suppkey, s_nationkey FROM supplier",
     "copy_query_union": "SELECT c_nationkey AS n FROM customer UNION SELECT s_nationkey FROM supplier",
@@ -92,8 +92,8 @@ DELEGATED: dict[str, str | tuple[str, str]] = {
     "copy_query_grouping_sets": "SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_size), ())",
     "copy_query_cte": "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT n, count(*) AS customers FROM big GROUP BY n",
     "copy_query_case": "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS bucket, coalesce(nullif(p_brand, 'Brand#11'), 'none') AS brand FROM part",
-    "copy_query_strings": "SELECT c_custkey, upper(c_name) AS u, length(c_name) AS n, substr(c_name, 1, 4) AS head, concat(c_name, '-', c_mktsegment) AS both, replace(c_name, 'Customer', 'C') AS r, trim('  x ') AS t, repeat('ab', 2) AS rep FROM customer",
-    "copy_query_math": "SELECT p_partkey, abs(p_size - 25) AS a, p_size % 7 AS m, floor(p_retailprice) AS f, round(p_retailprice, 1) AS r, sqrt(CAST(p_size AS DOUBLE)) AS q FROM part",
+    "copy_query_strings": "SELECT c_custkey, upper(c_name) AS u, CAST(length(c_name) AS BIGINT) AS n, substr(c_name, 1, 4) AS head, concat(c_name, '-', c_mktsegment) AS both, replace(c_name, 'Customer', 'C') AS r, trim('  x ') AS t, repeat('ab', 2) AS rep FROM customer",
+    "copy_query_math": "SELECT p_partkey, abs(p_size - 25) AS a, p_size % 7 AS m, CAST(floor(p_retailprice) AS BIGINT) AS f, round(p_retailprice, 1) AS r, sqrt(CAST(p_size AS DOUBLE)) AS q FROM part",
     "copy_query_dates": ("SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, CAST(o_orderdate AS DATE) AS d, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ) AS t FROM orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(o_orderdate AS DATE) AS d, date_trunc('month', o_orderdate) AS t FROM orders"),
     "copy_query_json": ("SELECT event_id, props, get_json_object(props, '$.k') AS k FROM events", "SELECT event_id, props, json_extract_string(props, '$.k') AS k FROM events"),
     "copy_query_generate_series": ("SELECT id AS i, repeat('x', 3) || id AS s, chr(CAST(65 + id % 26 AS INT)) AS c FROM range(1, 1001)", "SELECT range AS i, repeat('x', 3) || range AS s, chr(CAST(65 + range % 26 AS INTEGER)) AS c FROM range(1, 1001)"),
