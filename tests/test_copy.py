@@ -352,3 +352,12 @@ def test_c5_http(spark, tmp_path, monkeypatch):
     assert copy_to(spark.range(6), uri) == 6
     assert copy_from(spark, Relation.of("t", "id int8"), uri).count() == 6
     server.shutdown()
+
+
+def test_v1_to_v5_numbers(spark):
+    from colferry.functions import convert as c
+
+    df = spark.sql("SELECT date'2022-05-01' AS d, timestamp'2022-05-01 12:00:00.5+00:00' AS t, '15:30:12.25-03' AS z, CAST(NULL AS STRING) AS n, '00:10:00+05:30' AS w")
+    row = df.select(c.days(F.col("d")), c.date_of_days(c.days(F.col("d"))), c.micros(F.col("t")), c.time_micros(F.col("z")), c.timetz_micros(F.col("z")), c.time_text(c.timetz_micros(F.col("z")), "+00"), c.timetz_micros(F.col("n")), c.time_text(c.timetz_micros(F.col("w")))).first()
+    clock = ((15 * 60 + 30) * 60 + 12) * 1_000_000 + 250_000
+    assert tuple(row) == (19113, dt.date(2022, 5, 1), 1651406400500000, clock, clock + 3 * 3_600_000_000, "18:30:12.25+00", None, "18:40:00")
