@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from colferry.llm.common import Scratch, table
 from colferry.llm.mixing import mix
+from colferry.llm.near_copies import keep_one
 from colferry.llm.packing import pack
 from colferry.llm.quality_bayes import keep_good
-from colferry.llm.simhash import keep_one
 from colferry.llm.suffix_dedup import remove_repeats
 
 
@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their fingerprints, the one with the smallest id stays."""
+    """Of documents linked by 5-word shingles alike to 0.8 or more, the one with the smallest id stays."""
     return keep_one(docs)
 
 
