@@ -14,7 +14,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,17 +74,19 @@ def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-5, steps: int = 300) -> np.
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Weights from at most sample_rows labelled documents; null labels and documents that aren't there are passed over."""
+    """Weights from at most sample_rows labelled documents; null labels and documents that aren't there are passed over; rows of one id and text count once."""
     known = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(labels[id_col].cast("long").alias("__id")).agg(F.min(label_col).alias("__y"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t or "").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["y", "x"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([features(t or "").tobytes() for t in batch.column(3).to_pylist()], pa.binary())], names=["__id", "nth", "y", "x"])
 
-    joined = small_batches(docs).select(docs[id_col].cast("long").alias("__id"), docs[text_col].alias("t")).join(F.broadcast(known), "__id")
-    rows = joined.select(F.col("__y").cast("int").alias("y"), "t").mapInArrow(vectors, "y int, x binary").orderBy("y", "x").limit(sample_rows).collect()
+    joined = small_batches(docs).select(docs[id_col].cast("long").alias("__id"), docs[text_col].alias("t")).join(F.broadcast(known), "__id").select("__id", F.col("__y").cast("int").alias("y"), "t")
+    texts = joined.distinct().withColumn("nth", F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("t"), "t")))
+    seen = texts.select("__id", "nth", "y", "t").mapInArrow(vectors, "__id long, nth int, y int, x binary")
+    rows = sorted(seen.orderBy("nth", F.xxhash64("__id"), "__id").limit(sample_rows).select("y", "x").collect())  # each id once before any twice
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, SIZE)
     return fit(x, np.array([r["y"] > 0 for r in rows], np.float64))
 
