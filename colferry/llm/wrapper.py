@@ -25,9 +25,11 @@ from colferry.llm.common import Scratch, slices, small_batches
 from colferry.llm.url_rules import host_path
 
 _RAW = "script|style|noscript|template|textarea|title|select|svg|math|iframe|object|canvas|video|audio"
+#: Attributes to the tag's end; where a quote never closes, the next > ends the tag. No two starts scan the same quotes for long: the scan stays linear.
+_REST = r"(?:(?:\"[^\"]*+\"|'[^']*+'|[^'\"<>])*+>|[^<>]*+>)"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_RAW})\b(?:\"[^\"]{{0,100000}}+\"|'[^']{{0,100000}}+'|[^'\"<>])*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]{0,100000}+\"|'[^']{0,100000}+'|[^'\"<>])*+)>|<[!?/][^>]*+>|<[!?/a-zA-Z][^<]*+\Z|[^<]++|<",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_RAW})\b{_REST}.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)({_REST})|<[!?/][^>]*+>|<[!?/a-zA-Z][^<]*+\Z|[^<]++|<",
     re.S | re.I,
 )
 _NAME = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
