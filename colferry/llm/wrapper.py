@@ -12,8 +12,9 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
@@ -42,8 +43,6 @@ BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored banner promo promotion sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead "
     "comment comments disqus respond replies notice notices cookie cookies consent gdpr alert popup modal newsletter subscribe signup login search share sharing social related recommended pagination pager widget widgets toolbar skip hidden copyright legal complementary contentinfo".split()
 )
-MAX_DEPTH = 150
-MAX_ALIGN = 1 << 16
 #: A constant slot counts as template from so many pages on.
 TEMPLATE_PAGES = 3
 #: Share of the variable text that the element of the main text must hold.
@@ -52,13 +51,17 @@ BROADCAST_BYTES = 16 << 20
 #: Tasks whose wrappers of a host are merged before all are.
 TOGETHER = 256
 
+#: Trees are walked by plain recursion (its frames are on the heap), and pages may nest at any depth.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 1 << 28))
+
 #: Node: [label, kids]; slot: ["#", text or None, pages, characters]; kid: [node or slot, optional, repeated].
 
 
 def parse(page: str) -> list:
-    """The tree of a page: nodes [label, kids], texts as strings. Deeper than MAX_DEPTH, elements melt into one."""
+    """The tree of a page: nodes [label, kids], texts as strings."""
     root: list = ["html", []]
-    stack = [root]
+    stack, names_open = [root], ["html"]
+    count: Counter[str] = Counter()  # of the open elements' names
     text: list[str] = []
 
     def flush() -> None:
@@ -67,6 +70,10 @@ def parse(page: str) -> list:
                 stack[-1][1].append(words)
             text.clear()
 
+    def close(k: int) -> None:
+        count.subtract(names_open[k:])
+        del stack[k:], names_open[k:]
+
     for m in _TOKEN.finditer(page):
         raw, end, tag, attributes = m.groups()
         if raw:
@@ -86,29 +93,27 @@ def parse(page: str) -> list:
             continue
         flush()
         if end:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0].split(".", 1)[0] == tag:
-                    del stack[k:]
-                    break
+            if count[tag] > 0:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if names_open[k] == tag))
             continue
         if tag in ("html", "body") or tag in VOID:
             continue
         if tag in CLOSES:
             closed, within = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                name = stack[k][0].split(".", 1)[0]
-                if name in within:
+            for k in range(len(stack) - 1, 0, -1) if any(count[c] > 0 for c in closed.split()) else ():
+                if names_open[k] in within:
                     break
-                if name in closed.split():
-                    del stack[k:]
+                if names_open[k] in closed.split():
+                    close(k)
                     break
-        elif stack[-1][0].split(".", 1)[0] == "p":
-            stack.pop()
+        elif names_open[-1] == "p":
+            close(len(stack) - 1)
         names = sorted({w for a in _NAME.findall(attributes) for w in re.split(r"[^a-z]+", "".join(a[1:]).lower()) if w}) if attributes else []
         node = [".".join([tag, *names]), []]
         stack[-1][1].append(node)
-        if len(stack) < MAX_DEPTH:
-            stack.append(node)
+        stack.append(node)
+        names_open.append(node[0].split(".", 1)[0])
+        count[names_open[-1]] += 1
     flush()
     return root
 
@@ -164,24 +169,44 @@ def merge_kid(a: list, b: list, same_page: bool = False) -> list:
     return [node, a[1] or b[1], a[2] or b[2]]
 
 
+def _lengths(a: list[str], b: list[str]) -> list[int]:
+    """For every j, how long a common subsequence of a and b[:j] gets; a bit a label of b."""
+    places: dict[str, int] = {}
+    for j, label in enumerate(b):
+        places[label] = places.get(label, 0) | 1 << j
+    full = v = (1 << len(b)) - 1
+    for label in a:
+        if u := v & places.get(label, 0):
+            v = (v + u | v - u) & full
+    out = [0]
+    for bit in reversed(f"{v:0{len(b)}b}"):
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
 def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Indices of an alignment of two label sequences."""
-    if a == b:
-        return list(zip(range(len(a)), range(len(b))))
-    if len(a) * len(b) > MAX_ALIGN:  # in one sweep, each label with its next occurrence
-        places: dict[str, list[int]] = {}
-        for j, label in enumerate(b):
-            places.setdefault(label, []).append(j)
-        out, at = [], -1
-        for i, label in enumerate(a):
-            own = places.get(label, [])
-            while own and own[0] <= at:
-                own.pop(0)
-            if own and own[0] <= at + 8:
-                at = own.pop(0)
-                out.append((i, at))
-        return out
-    return [(m.a + k, m.b + k) for m in SequenceMatcher(None, a, b, False).get_matching_blocks() for k in range(m.size)]
+    """Indices of a longest alignment of two label sequences, in linear space (Hirschberg), at any size."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, p, j, q = todo.pop()
+        while i < p and j < q and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < p and j < q and a[p - 1] == b[q - 1]:
+            p, q = p - 1, q - 1
+            out.append((p, q))
+        if i == p or j == q:
+            continue
+        if p - i == 1:
+            if a[i] in b[j:q]:
+                out.append((i, b.index(a[i], j, q)))
+            continue
+        mid = (i + p) // 2
+        left, right = _lengths(a[i:mid], b[j:q]), _lengths(a[mid:p][::-1], b[j:q][::-1])[::-1]
+        cut = j + max(range(q - j + 1), key=lambda k: left[k] + right[k])
+        todo += [(i, mid, j, cut), (mid, p, cut, q)]
+    return sorted(out)
 
 
 def merge(a: list, b: list, same_page: bool = False) -> list:
@@ -203,7 +228,10 @@ def mass(node: list, in_article: bool = False) -> int:
         return 0 if node[1] is not None and node[2] >= TEMPLATE_PAGES else node[3]
     if boilerplate(node[0], in_article):
         return 0
-    return sum(mass(k[0], in_article or node[0].startswith("article")) for k in node[1])
+    total = 0
+    for k in node[1]:  # no generator: recursion through sum() would be on the C stack
+        total += mass(k[0], in_article or node[0].startswith("article"))
+    return total
 
 
 def main_labels(whole: list) -> list[str]:
@@ -279,6 +307,33 @@ def extract(page: str | None, known: list | None) -> str:
 # --- over tables ---
 
 
+def dumps(node: list) -> str:
+    """A wrapper as flat JSON, nodes before their kids: nested JSON of deep pages would be beyond the C stack."""
+    out, todo = [], [[node, False, False]]
+    while todo:
+        x, *marks = todo.pop()
+        if x[0] == "#":
+            out.append([*x, *marks])
+        else:
+            out.append([x[0], len(x[1]), *marks])
+            todo += reversed(x[1])
+    return json.dumps(out)
+
+
+def loads(text: str) -> list:
+    top: list = []
+    todo = [[top, 1]]
+    for row in json.loads(text):
+        while not todo[-1][1]:
+            todo.pop()
+        todo[-1][1] -= 1
+        node = row[:-2] if row[0] == "#" else [row[0], []]
+        todo[-1][0].append([node, *row[-2:]])
+        if row[0] != "#":
+            todo.append([node[1], row[1]])
+    return top[0][0]
+
+
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, wrapper (JSON): each task aligns its own pages of a host, then the tasks' wrappers are aligned.
 
@@ -294,14 +349,14 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
                 for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     host, own = host_path(url)[0], wrapper(parse(page or ""))
                     known[host] = merge(known[host], own) if host in known else own
-        columns = [pa.array(list(known), pa.string()), pa.array([part] * len(known), pa.int32()), pa.array([json.dumps(w) for w in known.values()], pa.string())]
+        columns = [pa.array(list(known), pa.string()), pa.array([part] * len(known), pa.int32()), pa.array([dumps(w) for w in known.values()], pa.string())]
         yield pa.RecordBatch.from_arrays(columns, names=["host", "part", "wrapper"])
 
     def together(rows: pd.DataFrame) -> pd.DataFrame:
         both = None
-        for w in map(json.loads, sorted(rows["wrapper"])):
+        for w in map(loads, sorted(rows["wrapper"])):
             both = w if both is None else merge(both, w)
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "part": [int(rows["part"].iloc[0])], "wrapper": [json.dumps(both)]})
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "part": [int(rows["part"].iloc[0])], "wrapper": [dumps(both)]})
 
     src = small_batches(pages).select(pages[url_col].alias("url"), pages[html_col].alias("html"))
     schema = "host string, part int, wrapper string"
@@ -333,7 +388,7 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                         if len(parsed) > 1000:
                             parsed.clear()
                             parsed[None] = None
-                        parsed[w] = json.loads(w)
+                        parsed[w] = loads(w)
                     out.append(extract(page, parsed[w]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
