@@ -1,13 +1,15 @@
-"""Near copies: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, all of them.
+"""SimHash for near copies: sets of 5-word shingles with a Jaccard similarity of 0.8 or more, all of them.
 
-A prefix-filtered join: in one order of all shingles, two such sets share a shingle within the first fifth of each.
-Hot shingles come last in that order, so that prefixes hold rare ones; which are hot is counted within tasks, and
-affects how many candidates there are but no result. Of the candidates, what size and place of the shared shingle
-already exclude goes; the rest is compared set by set. Equal sets are one row from the start.
+Such sets of n and m shingles differ in at most (n + m) / 9 of them. So a document's fingerprint here is a long one:
+its shingles are spread over that many buckets and some more, by hash, and each bucket gives a 64-bit SimHash. Two
+close documents differ in fewer buckets than there are, hence share a block (pigeonhole). Documents of like size are
+joined on blocks, and the Hamming distance of their sets decides. A block that many documents share is cut again
+with another spreading, which close pairs must share a block of, too. Equal sets are one row from the start.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +23,21 @@ from colferry.llm.components import components
 from colferry.llm.simhash import BROADCAST_IDS, without_ids
 
 WORDS, SEED = 5, 42
-#: Shingles that are put last in the order; those that a task counts at once, and tells of at most, and from which count on.
-HOT, CHUNK, TOLD, LEAST = 1 << 16, 1 << 20, 1 << 12, 4
+#: Different sets to a block beyond which it is cut again; how often that is done.
+HOT, LEVELS = 64, 4
 #: Sets that a task remembers in order not to tell of them again.
 REMEMBER = 1 << 18
+#: Least sizes of the classes: sets alike to 0.8 are of the same or of neighbouring classes.
+CLASSES = [1]
+while CLASSES[-1] < 1 << 40:
+    CLASSES.append(max(CLASSES[-1] + 1, -(-5 * CLASSES[-1] // 4)))
+_ODD, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ x >> np.uint64(33)) * _MORE
+        return x ^ x >> np.uint64(33)
 
 
 def shingles(text: str) -> np.ndarray:
@@ -39,10 +52,8 @@ def shingles(text: str) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = h[:n].copy()
         for k in range(1, WORDS):
-            x = (x ^ x >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + h[k : n + k]
-        x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
-        x ^= x >> np.uint64(33)
-    return np.unique(x)
+            x = (x ^ x >> np.uint64(29)) * _ODD + h[k : n + k]
+    return np.unique(_mixed(x))
 
 
 def name_of(found: np.ndarray) -> int:
@@ -50,15 +61,62 @@ def name_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes(), SEED)).view(np.int64))
 
 
-def prefix(found: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 shingles: those that aren't hot by hash, then hot ones by count."""
-    n = len(found)
-    size = n - (4 * n + 4) // 5 + 1
-    if not n or not len(hot):
-        return found[:size] if n else found
-    at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
-    rank = np.where(hot[at] == found, counts[at], 0)
-    return found[np.lexsort((found, rank))[:size]] if rank.any() else found[:size]
+def spreadings(n: int) -> list[tuple[int, int, int]]:
+    """(class, buckets, empty ones that don't matter) of a set of n shingles: with its own class's sizes and up, and down."""
+    c = bisect_right(CLASSES, n) - 1
+    out = []
+    for p in (c, c - 1):
+        most = (CLASSES[p + 1] - 1) // 4 if p >= 0 else 0  # differing shingles: n / 4 of the smaller set
+        if most:
+            spare = 2 + most // 8
+            out.append((p, most + 1 + spare, spare))
+    return out
+
+
+def majorities(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The SimHash of each run of x: bits that over half of it have. Counted in bit planes, 64 bits at once."""
+    planes = [np.zeros(len(starts), np.uint64) for _ in range(int(sizes.max(initial=0)).bit_length())]
+    left = np.arange(len(starts))
+    for k in range(int(sizes.max(initial=0))):
+        left = left[sizes[left] > k]
+        carry = x[starts[left] + k]
+        for plane in planes[: (k + 1).bit_length()]:
+            plane[left], carry = plane[left] ^ carry, plane[left] & carry
+    more, same = np.zeros(len(starts), np.uint64), np.full(len(starts), ~np.uint64(0))
+    half = (sizes // 2).astype(np.uint64)
+    for j in reversed(range(len(planes))):
+        bit = np.uint64(0) - (half >> np.uint64(j) & np.uint64(1))
+        more |= same & planes[j] & ~bit
+        same &= ~(planes[j] ^ bit)
+    return more
+
+
+def blocks(sets: list[np.ndarray], level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the sets' blocks, and which set each is of. Sets alike to 0.8 share one that isn't empty, unless both have
+    more empty buckets than don't matter; then an empty one, which is a key in that case."""
+    if level:
+        with np.errstate(over="ignore"):
+            sets = [np.sort(_mixed(x + np.uint64(level) * _ODD)) for x in sets]
+    ways = [spreadings(len(x)) for x in sets]
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for turn in (0, 1):
+        rows = np.array([i for i, w in enumerate(ways) if len(w) > turn], np.int64)
+        if not len(rows):
+            continue
+        p, buckets, spare = (np.array(c, np.uint64) for c in zip(*(ways[i][turn] for i in rows)))
+        n = np.array([len(sets[i]) for i in rows])
+        x, of = np.concatenate([sets[i] for i in rows]), np.repeat(np.arange(len(rows)), n)
+        bucket = (x >> np.uint64(32)) * buckets[of] >> np.uint64(32)
+        starts = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (of[1:] != of[:-1])))
+        sim, which, owner = majorities(x, starts, np.diff(np.append(starts, len(x)))), bucket[starts], of[starts]
+        for r in np.flatnonzero(buckets - np.bincount(owner, minlength=len(rows)).astype(np.uint64) > spare):
+            empty = np.setdiff1d(np.arange(buckets[r], dtype=np.uint64), which[owner == r])
+            sim, which = np.append(sim, np.full(len(empty), 12345, np.uint64)), np.append(which, empty)
+            owner = np.append(owner, np.full(len(empty), r))
+        with np.errstate(over="ignore"):
+            keys.append(_mixed(sim + _mixed(which * _ODD + p[owner] * _MORE + np.uint64(level))))
+        owners.append(rows[owner])
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -71,81 +129,128 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
             yield [shingles(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
 
 
-def hot_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles in many documents, and about how many."""
+def _longs(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).view(np.int64)) for c in columns], names=names)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def told() -> pa.RecordBatch:
-            x, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-            most = np.argsort(-n, kind="stable")[:TOLD]
-            most = most[n[most] >= LEAST]
-            return pa.RecordBatch.from_arrays([pa.array(x[most].view(np.int64)), pa.array(n[most].astype(np.int64))], names=["h", "n"])
-
-        for found in _each(batches):
-            held += found
-            size += sum(map(len, found))
-            if size > CHUNK:
-                yield told()
-                held, size = [], 0
-        yield told()
 
-    rows = texts.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT).collect()
-    h, n = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
-    order = np.argsort(h.view(np.uint64))
-    return h.view(np.uint64)[order], n[order]
+def shared_blocks(texts: DataFrame) -> DataFrame:
+    """(key, fp, rep): the blocks of at least two different sets, with each of these; rep: one of a block's."""
 
-
-def links(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): all pairs of different sets (by their ids) of similarity 0.8 or more."""
-    hot = texts.sparkSession.sparkContext.broadcast(hot_shingles(texts))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for found in _each(batches):
             rows = {name: x for x in found if len(x) and (name := name_of(x)) not in seen}
             if len(seen) > REMEMBER:
                 seen.clear()
             seen.update(rows)
-            first = [prefix(x, *hot.value).view(np.int64) for x in rows.values()]
-            columns = [pa.array(list(rows), pa.int64()), pa.array([len(x) for x in rows.values()], pa.int64()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["fp", "n", "prefix"])
-
-    sets = texts.select("text").mapInArrow(prefixes, "fp long, n long, prefix array<long>").groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    sets = scratch.write(sets, "prefixes")
-    side = lambda s: sets.select(F.col("fp").alias(s), F.col("n").alias(f"n{s}"), F.posexplode("prefix").alias(f"at{s}", "h"))
-    n_a, n_b = F.col("na"), F.col("nb")
-    possible = (5 * F.least(n_a, n_b) >= 4 * F.greatest(n_a, n_b)) & (9 * F.least(n_a - F.col("ata"), n_b - F.col("atb")) >= 4 * (n_a + n_b))
-    pairs = scratch.write(side("a").join(side("b"), "h").where((F.col("a") < F.col("b")) & possible).select("a", "b").distinct(), "pairs")
+            keys, owners = blocks(list(rows.values()))
+            yield _longs(["key", "fp"], keys, np.fromiter(rows, np.int64, len(rows))[owners])
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted; what goes on in the next batch is the last row, and its run's rep if that was told."""
+        key, fp, rep = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = np.concatenate([key[-1:], batch.column(0).to_numpy()])
+            f = np.concatenate([fp[-1:], batch.column(1).to_numpy()])
+            new = np.append(True, (k[1:] != k[:-1]) | (f[1:] != f[:-1]))
+            k, f = k[new], f[new]
+            first = np.append(True, k[1:] != k[:-1])
+            reps = f[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
+            many = ~first | np.append(~first[1:], False)
+            if rep is not None:  # the first row's run was told of already, and the row, too
+                reps[k == k[0]] = rep
+                many[0] = False
+            yield _longs(["key", "fp", "rep"], k[many], f[many], reps[many])
+            rep = reps[-1] if many[-1] or rep is not None and k[-1] == k[0] else None
+            key, fp = k, f
+
+    rows = texts.select("text").mapInArrow(keyed, "key long, fp long")
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(repeated, "key long, fp long, rep long")
+
+
+def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(fp, found): the sets that wanted.fp names. Few names are broadcast (8 bytes each); more are joined by shuffle."""
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    names = np.sort(np.array([r[0] for r in wanted.collect()], np.int64)) if few else None
+    told = texts.sparkSession.sparkContext.broadcast(names)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _each(batches):
-            names = [name_of(x) for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["fp", "found"])
+            rows = {name_of(x): x for x in found}
+            if told.value is not None:
+                rows = {n: rows[n] for n in np.intersect1d(np.fromiter(rows, np.int64, len(rows)), told.value).tolist()}
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([x.tobytes() for x in rows.values()], pa.binary())], names=["fp", "found"])
 
-    wanted = scratch.write(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "wanted")
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    full = texts.select("text").mapInArrow(whole, "fp long, found binary").join(F.broadcast(wanted) if few else wanted, "fp", "left_semi")
-    full = scratch.write(full.groupBy("fp").agg(F.first("found").alias("found")), "whole")
+    full = texts.select("text").mapInArrow(whole, "fp long, found binary")
+    return (full if few else full.join(wanted, "fp", "left_semi")).groupBy("fp").agg(F.first("found").alias("found"))
+
+
+def close(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets whose Hamming distance is at most a ninth of their sizes' sum: 0.8 of the union is shared."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole_batch in batches:
-            for batch in slices(whole_batch):
+        for whole in batches:
+            for batch in slices(whole):
                 keep = []
                 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                    both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                    keep.append(9 * both >= 4 * (len(x) + len(y)) // 8)
+                    n, m = len(x) // 8, len(y) // 8
+                    likely = 5 * min(n, m) >= 4 * max(n, m)
+                    keep.append(likely and 9 * len(np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) <= n + m)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda s: full.select(F.col("fp").alias(s), F.col("found").alias(f"found_{s}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "found_a", "found_b").mapInArrow(alike, "a long, b long")
 
 
+def _cut(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
+    """(key, fp, part) of finer blocks, from (key, fp, part, found)."""
+    for whole in batches:
+        for batch in slices(whole, 1 << 20):
+            finer, owners = blocks([np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()], level)
+            key, fp, part = (batch.column(c).to_numpy()[owners] for c in range(3))
+            with np.errstate(over="ignore"):
+                key = _mixed(finer + key.view(np.uint64) * _ODD)
+            yield _longs(["key", "fp", "part"], key, fp, part)
+
+
+def links(texts: DataFrame, scratch: Scratch, spare: bool = False) -> DataFrame:
+    """(a, b): all pairs of different sets (by their ids) of similarity 0.8 or more.
+
+    spare: only as many as connect what is connected. Each block's sets are compared with one of them first, and then
+    only those pairs that these links leave apart; so that a thousand near copies of one text are not a million pairs.
+    """
+    shared = scratch.write(shared_blocks(texts), "shared")
+    full = scratch.write(sets_of(texts, shared.select("fp").distinct()), "whole")
+    out = None
+    if spare:
+        star = shared.where("fp <> rep").select(F.least("fp", "rep").alias("a"), F.greatest("fp", "rep").alias("b")).distinct()
+        out = scratch.write(close(star, full), "star")
+        part = components(out, scratch, "star-cc")
+        shared = shared.join(part.select(F.col("node").alias("fp"), F.col("root").alias("part")), "fp", "left")
+    rows = shared.select("key", "fp", F.coalesce("part", "fp").alias("part") if spare else F.col("fp").alias("part"))
+    pairs = None
+    for level in range(LEVELS + 1):
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key", "n")
+        keyed = scratch.write(rows.join(sizes, "key"), f"blocks{level}")
+        few = keyed if level == LEVELS else keyed.where(F.col("n") <= HOT)
+        a, b = (few.select("key", F.col("fp").alias(s), F.col("part").alias(f"part_{s}")) for s in "ab")
+        found = a.join(b, "key").where("a < b AND part_a <> part_b").select("a", "b")
+        pairs = found if pairs is None else pairs.union(found)
+        hot = keyed.where(F.col("n") > HOT)
+        if level == LEVELS or not hot.head(1):
+            break
+        rows = hot.join(full, "fp").select("key", "fp", "part", "found").mapInArrow(lambda batches, level=level + 1: _cut(batches, level), "key long, fp long, part long")
+    more = close(scratch.write(pairs.distinct(), "pairs"), full)
+    return more if out is None else out.union(more)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that links lead from to a smaller id. Rows with one id stay together; null ids stay.
 
-    Null, empty or wordless text: the empty set, linked to its like. Texts of any length are compared whole.
+    Null, empty or wordless text: the empty set, linked to its like. Texts of any length are compared whole. Empty
+    table: empty result. Other columns pass through.
     """
     scratch, texts = Scratch(docs.sparkSession), _texts(docs, id_col, text_col)
 
@@ -155,7 +260,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name_of(shingles(t or "")) for t in batch.column(1).to_pylist()], pa.int64())], names=["doc_id", "fp"])
 
     named = scratch.write(texts.mapInArrow(names, "doc_id long, fp long"), "named")
-    roots = scratch.write(components(links(texts, scratch), scratch), "roots")
+    roots = scratch.write(components(links(texts, scratch, spare=True), scratch), "roots")
     by_fp = named.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = by_fp.groupBy("root").agg(F.min("doc_id").alias("least"))
     dropped = scratch.write(by_fp.join(least, "root").where("doc_id <> least").select(F.col("doc_id").alias("id")), "dropped")
