@@ -23,6 +23,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length that are ranked in one window.
 BUCKET_ROWS = 1 << 18
+#: The same where the ids go along.
+BUCKET_ROWS_IDS = 1 << 14
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -136,8 +138,9 @@ def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     return src.mapInArrow(tokenize, PIECES + ", ids binary" * with_ids)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Every piece with its sequence_id and offset, gapless from 0 (and its ids, if asked for).
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False, with_copies: bool = False) -> DataFrame:
+    """Every piece with its sequence_id and offset, gapless from 0 (and its ids, if asked for; and copy, an int from 0
+    that tells equal pieces of rows with one id apart, if asked for).
 
     Null or empty text: one piece, the end id alone. Null ids and repeated rows are documents each; texts of any
     length are cut; an empty table gives none; other columns are not read. The driver holds one count a length (at
@@ -149,7 +152,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     pieces = scratch.write(pieces_of(docs, id_col, text_col, capacity, with_ids), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = plan(counts, capacity)
-    buckets = max(1, -(-max(counts.values(), default=1) // BUCKET_ROWS))
+    buckets = max(1, -(-max(counts.values(), default=1) // (BUCKET_ROWS_IDS if with_ids else BUCKET_ROWS)))
     salted = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     if buckets > 1:  # ranks begin where the smaller buckets of the length end
         begins = salted.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("begin", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
@@ -157,8 +160,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     else:
         salted = salted.withColumn("begin", F.lit(0).cast("long"))
     rank = F.col("begin") + F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    cols = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    ranked = salted.select(*cols, rank.cast("long").alias("rank"))
+    copy = F.row_number().over(Window.partitionBy("length", "bucket", "doc_id", "piece", "ids_crc32").orderBy("start")) - 1  # same shuffle and order
+    own = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    cols = own + ["copy"] * with_copies
+    ranked = salted.select(*own, rank.cast("long").alias("rank"), *[copy.cast("int").alias("copy")] * with_copies)
     table = np.asarray(sorted(runs), np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast(table)  # a few thousand rows, as the plan has
 
@@ -171,4 +176,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             sequence = own[:, 2] + rank - own[:, 1]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(sequence), pa.array(own[:, 4])], names=[*cols, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, PIECES + ", ids binary" * with_ids + ", sequence_id long, offset long")
+    return ranked.mapInArrow(place, PIECES + ", ids binary" * with_ids + ", copy int" * with_copies + ", sequence_id long, offset long")

@@ -28,6 +28,8 @@ STRENGTH = (1.0, 10_000.0)
 THRESHOLD = 0.5
 #: Paths up to which their posteriors (some 100 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_PATHS = 50_000
+#: Tasks that a path's rows are spread over in that shuffle.
+SALTS = 16
 _CLASS = np.zeros((5, 256))
 for _k, _chars in enumerate(("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#*$%&|<>{}[]\\/=+~^_@", "!?.,;:", " \n\t")):
     _CLASS[_k, list(_chars.encode())] = 1
@@ -103,15 +105,27 @@ def _strength(groups: DataFrame, share: str, prior: Column) -> Column:
     return F.least(F.greatest(F.avg(prior * (1 - prior)) / between - 1, F.lit(STRENGTH[0])), F.lit(STRENGTH[1]))
 
 
-def classify(
-    docs: DataFrame, weights: np.ndarray, text_col: str = "text", host_col: str | None = "source", path_col: str | None = "lang", threshold: float = THRESHOLD
-) -> DataFrame:
+def classify(docs: DataFrame, weights: np.ndarray, text_col: str = "text", host_col: str | None = "source", path_col: str | None = "lang", threshold: float = THRESHOLD) -> DataFrame:
     """docs with __evidence (logit), __host, __path (posterior shares), __posterior and __kept.
 
     Two passes over the texts: sums by host and path, then verdicts; the texts themselves are never shuffled while the
     paths are few. Null or empty text: evidence of an empty text. A null host or path is a group of its own. Repeated
-    rows are judged each; an empty table gives none; other columns pass through, whatever their names.
+    rows are judged each; an empty table gives none. Other columns pass through, whatever their names: where docs has
+    a column of a verdict's name, the verdict's gets one more underscore, until it is free.
     """
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        while name in taken:
+            name = f"_{name}"
+        return name
+
+    judged = verdicts(docs, weights, text_col, host_col, path_col, threshold)
+    return judged.select("row.*", *[F.col(f"verdict.{c}").alias(free(f"__{c}")) for c in ("evidence", "host", "path", "posterior", "kept")])
+
+
+def verdicts(docs: DataFrame, weights: np.ndarray, text_col: str = "text", host_col: str | None = "source", path_col: str | None = "lang", threshold: float = THRESHOLD) -> DataFrame:
+    """row (the columns of docs) and verdict (evidence, host, path, posterior, kept), as two structs."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(weights)  # a thousand numbers
     group = lambda c: F.coalesce(docs[c].cast("string"), F.lit("\0null")) if c else F.lit("")
@@ -143,7 +157,7 @@ def classify(
     both = paths.join(hosts, "__h")
     prior = (F.col("hs") + of_host * mean) / (F.col("hn") + of_host)
     of_path = both.agg(_strength(both, "s", prior).alias("k")).first()["k"] or STRENGTH[0]
-    both = F.broadcast(both) if paths.count() <= BROADCAST_PATHS else both
+    few = paths.count() <= BROADCAST_PATHS
     kinds = T.StructType([src.schema["__row"], *(T.StructField(c, T.StringType()) for c in ("__h", "__p")), T.StructField("__evidence", T.DoubleType())])
     judged = src.mapInArrow(judge, kinds)
     p = 1 / (1 + F.exp(-F.col("__evidence")))
@@ -151,11 +165,17 @@ def classify(
     path = (F.col("s") - p + of_path * host) / (F.col("n") - 1 + of_path)
     clip = lambda c: F.least(F.greatest(c, F.lit(1e-4)), F.lit(1 - 1e-4))
     odds = F.col("__evidence") + _logit(clip(path)) - _logit(F.lit(mean))
-    out = judged.join(both, ["__h", "__p"]).select("__row.*", F.col("__evidence"), clip(host).alias("__host"), clip(path).alias("__path"), (1 / (1 + F.exp(-odds))).alias("__posterior"))
-    return out.withColumn("__kept", F.col("__posterior") >= threshold)
+    if few:
+        joined = judged.join(F.broadcast(both), ["__h", "__p"])
+    else:  # a hot path's rows go to SALTS tasks
+        salts = both.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        joined = judged.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int")).join(salts, ["__h", "__p", "__salt"])
+    posterior = 1 / (1 + F.exp(-odds))
+    fields = (F.col("__evidence").alias("evidence"), clip(host).alias("host"), clip(path).alias("path"), posterior.alias("posterior"), (posterior >= threshold).alias("kept"))
+    return joined.select(F.col("__row").alias("row"), F.struct(*fields).alias("verdict"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
     """docs that the classifier keeps."""
-    judged = classify(docs, train(docs, labels, id_col, text_col), text_col, host_col, path_col, threshold)
-    return judged.where("__kept").select(*docs.columns)
+    judged = verdicts(docs, train(docs, labels, id_col, text_col), text_col, host_col, path_col, threshold)
+    return judged.where("verdict.kept").select("row.*")
