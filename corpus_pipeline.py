@@ -30,18 +30,33 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes it: not at all, once or twice."""
-    taken = mix(docs).where("size > 0").select(F.col("doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__times")).where("__times <> 1").distinct()
-    kept = docs.join(F.broadcast(taken) if taken.count() <= 1 << 20 else taken, docs["doc_id"] == F.col("__id"), "left")
-    return kept.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.coalesce("__times", F.lit(1))))).select(*docs.columns)
+    """Each document comes as often as the mix takes it: not at all, once or twice. Rows without words come once.
 
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequences."""
-    return pack(docs)
+    The mix takes rows of one id and source alike, null ids and sources among them, so these two say how often.
+    """
+    times = (F.col("taken") / F.col("size")).cast("int")
+    taken = mix(docs).where("size > 0").select(F.struct("doc_id", "source", times.alias("times")).alias("mixed")).distinct().where("mixed.times <> 1")
+    taken = Scratch(spark).write(taken, "taken")
+    row = docs.select(F.struct(*docs.columns).alias("row"))  # whatever names the columns have
+    same = (F.col("row.doc_id").cast("long").eqNullSafe(F.col("mixed.doc_id"))) & (F.col("row.source").eqNullSafe(F.col("mixed.source")))
+    kept = row.join(F.broadcast(taken) if taken.count() <= BROADCAST_IDS else taken, same, "left")
+    return kept.select("row", F.explode(F.array_repeat(F.lit(0), F.coalesce("mixed.times", F.lit(1))))).select("row.*")
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("source_weights", source_weights), ("packed", packed)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their token ids, their sequences, and which copy of the document they are of."""
+    return pack(docs, with_ids=True, with_copies=True)
+
+
+#: Ids up to which what the mix takes of them is broadcast (some 50 bytes each).
+BROADCAST_IDS = 1 << 20
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("source_weights", source_weights),
+    ("packed", packed),
+]
 #: The classifier, the links and the repeated strings cannot be said in SQL.
 ORACLE_SQL = None
 
