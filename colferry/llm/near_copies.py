@@ -23,8 +23,10 @@ from colferry.llm.components import components
 from colferry.llm.simhash import BROADCAST_IDS, without_ids
 
 WORDS, SEED = 5, 42
-#: Different sets to a block beyond which it is cut again; how often that is done.
+#: Pairs to be compared for each set of a block beyond which it is cut again; how often that is done.
 HOT, LEVELS = 64, 4
+#: Sets that are compared with one in one place.
+HUB_ROWS = 4096
 #: Sets that a task remembers in order not to tell of them again.
 REMEMBER = 1 << 18
 #: Least sizes of the classes: sets alike to 0.8 are of the same or of neighbouring classes.
@@ -133,19 +135,40 @@ def _longs(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).view(np.int64)) for c in columns], names=names)
 
 
-def shared_blocks(texts: DataFrame) -> DataFrame:
-    """(key, fp, rep): the blocks of at least two different sets, with each of these; rep: one of a block's."""
+def _told(texts: DataFrame, fps: DataFrame):
+    """The ids of fps as a broadcast sorted array, if they are few (8 bytes each); else of None."""
+    fps = fps.select("fp").distinct()
+    few = fps.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return texts.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in fps.collect()], np.int64)) if few else None)
+
+
+def _distinct(batches: Iterator[pa.RecordBatch], told=None) -> Iterator[dict[int, np.ndarray]]:
+    """Sets by id, those told of, without most of those that were there before."""
+    seen: set[int] = set()
+    for found in _each(batches):
+        rows = {name: x for x in found if len(x) and (name := name_of(x)) not in seen}
+        if told is not None and told.value is not None:
+            rows = {n: rows[n] for n in np.intersect1d(np.fromiter(rows, np.int64, len(rows)), told.value).tolist()}
+        if len(seen) > REMEMBER:
+            seen.clear()
+        seen.update(rows)
+        yield rows
+
+
+def all_blocks(texts: DataFrame, level: int = 0, told=None) -> DataFrame:
+    """(key, fp): the blocks of each set; a row may come more than once."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for found in _each(batches):
-            rows = {name: x for x in found if len(x) and (name := name_of(x)) not in seen}
-            if len(seen) > REMEMBER:
-                seen.clear()
-            seen.update(rows)
-            keys, owners = blocks(list(rows.values()))
+        for rows in _distinct(batches, told):
+            keys, owners = blocks(list(rows.values()), level)
             yield _longs(["key", "fp"], keys, np.fromiter(rows, np.int64, len(rows))[owners])
 
+    return texts.select("text").mapInArrow(keyed, "key long, fp long")
+
+
+def shared_blocks(texts: DataFrame) -> DataFrame:
+    """(key, fp, rep): the blocks of at least two different sets, with each of these; rep: one of a block's."""
+
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted; what goes on in the next batch is the last row, and its run's rep if that was told."""
         key, fp, rep = np.zeros(0, np.int64), np.zeros(0, np.int64), None
@@ -166,83 +189,126 @@ def shared_blocks(texts: DataFrame) -> DataFrame:
             rep = reps[-1] if many[-1] or rep is not None and k[-1] == k[0] else None
             key, fp = k, f
 
-    rows = texts.select("text").mapInArrow(keyed, "key long, fp long")
-    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(repeated, "key long, fp long, rep long")
+    return all_blocks(texts).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(repeated, "key long, fp long, rep long")
+
+
+def print_of(found: np.ndarray) -> bytes:
+    """Parities of the shingles' counts in two to four times as many places as there are shingles."""
+    k = max(3, (2 * len(found) - 1).bit_length())
+    places = np.bincount((found >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
+    return np.packbits(places & 1).tobytes()
+
+
+def least_distance(x: bytes, y: bytes) -> int:
+    """A lower bound of two sets' Hamming distance: that of their prints, the longer one folded to the shorter one's places."""
+    a, b = sorted((np.unpackbits(np.frombuffer(v, np.uint8)) for v in (x, y)), key=len)
+    while len(b) > len(a):
+        b = b[::2] ^ b[1::2]
+    return int((a ^ b).sum())
 
 
-def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, found): the sets that wanted.fp names. Few names are broadcast (8 bytes each); more are joined by shuffle."""
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    names = np.sort(np.array([r[0] for r in wanted.collect()], np.int64)) if few else None
-    told = texts.sparkSession.sparkContext.broadcast(names)
+def likely(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose prints leave a similarity of 0.8 possible."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in range(2, 6)))
+            keep = [5 * min(n, m) >= 4 * max(n, m) and 9 * least_distance(x, y) <= n + m for n, x, m, y in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda s: prints.select(F.col("fp").alias(s), F.col("n").alias(f"n_{s}"), F.col("print").alias(f"print_{s}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "print_a", "n_b", "print_b").mapInArrow(check, "a long, b long")
+
+
+def sets_for(texts: DataFrame, sends: DataFrame) -> DataFrame:
+    """sends with found: the set that fp names. Few names are broadcast (8 bytes each); more are joined by shuffle."""
+    told = _told(texts, sends)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _each(batches):
-            rows = {name_of(x): x for x in found}
-            if told.value is not None:
-                rows = {n: rows[n] for n in np.intersect1d(np.fromiter(rows, np.int64, len(rows)), told.value).tolist()}
+        for rows in _distinct(batches, told):
             yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([x.tobytes() for x in rows.values()], pa.binary())], names=["fp", "found"])
 
     full = texts.select("text").mapInArrow(whole, "fp long, found binary")
-    return (full if few else full.join(wanted, "fp", "left_semi")).groupBy("fp").agg(F.first("found").alias("found"))
+    return full.join(F.broadcast(sends) if sends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else sends, "fp")
+
 
+def close(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) of sets whose Hamming distance is at most a ninth of their sizes' sum: 0.8 of the union is shared.
 
-def close(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets whose Hamming distance is at most a ninth of their sizes' sum: 0.8 of the union is shared."""
+    A set goes to each a that it is paired with, and a's own once, in parts of HUB_ROWS sets.
+    """
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("parts"))
+    to = pairs.join(hubs, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.col("b").alias("fp"))
+    own = hubs.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("fp"))
+    sends = scratch.write(to.union(own), f"sends-{name}")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, mine, told = None, None, None
+        for whole_batch in batches:
+            for batch in slices(whole_batch):
+                out: list[tuple] = []
+                for hub, part, fp, found in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                    if (hub, part) != last:
+                        last, mine, told = (hub, part), np.frombuffer(found, np.uint64), None
+                    if fp in (hub, told):  # equal sets may come from several tasks
+                        continue
+                    told, other = fp, np.frombuffer(found, np.uint64)
+                    if 9 * len(np.setxor1d(mine, other, assume_unique=True)) <= len(mine) + len(other):
+                        out.append((hub, fp))
+                cols = list(zip(*out)) or [[], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+    sent = sets_for(texts, sends).select("hub", "part", "fp", "found").repartition("hub", "part")
+    return sent.sortWithinPartitions("hub", "part", F.col("fp") != F.col("hub"), "fp").mapInArrow(alike, "a long, b long")
+
+
+def _prints(texts: DataFrame) -> DataFrame:
+    """doc_id, fp, n, print of every row."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                keep = []
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                    n, m = len(x) // 8, len(y) // 8
-                    likely = 5 * min(n, m) >= 4 * max(n, m)
-                    keep.append(likely and 9 * len(np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) <= n + m)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                found = [shingles(t or "") for t in batch.column(1).to_pylist()]
+                cols = [pa.array([name_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([print_of(x) for x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "fp", "n", "print"])
 
-    of = lambda s: full.select(F.col("fp").alias(s), F.col("found").alias(f"found_{s}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "found_a", "found_b").mapInArrow(alike, "a long, b long")
+    return texts.mapInArrow(work, "doc_id long, fp long, n long, print binary")
 
 
-def _cut(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
-    """(key, fp, part) of finer blocks, from (key, fp, part, found)."""
-    for whole in batches:
-        for batch in slices(whole, 1 << 20):
-            finer, owners = blocks([np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()], level)
-            key, fp, part = (batch.column(c).to_numpy()[owners] for c in range(3))
-            with np.errstate(over="ignore"):
-                key = _mixed(finer + key.view(np.uint64) * _ODD)
-            yield _longs(["key", "fp", "part"], key, fp, part)
-
+def links(texts: DataFrame, scratch: Scratch, spare: bool = False, named: DataFrame | None = None) -> DataFrame:
+    """(a, b): all pairs of different sets (by their ids) of similarity 0.8 or more. named: what _prints gives.
 
-def links(texts: DataFrame, scratch: Scratch, spare: bool = False) -> DataFrame:
-    """(a, b): all pairs of different sets (by their ids) of similarity 0.8 or more.
-
-    spare: only as many as connect what is connected. Each block's sets are compared with one of them first, and then
-    only those pairs that these links leave apart; so that a thousand near copies of one text are not a million pairs.
+    spare: only as many as connect what is connected. Each set is compared with one of those that share a block first,
+    and then only those pairs that these links leave apart; so that a thousand near copies of one text are not a
+    million pairs.
     """
+    named = scratch.write(_prints(texts), "prints") if named is None else named
     shared = scratch.write(shared_blocks(texts), "shared")
-    full = scratch.write(sets_of(texts, shared.select("fp").distinct()), "whole")
+    prints = named.join(shared.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("print").alias("print"))
+    prints = scratch.write(prints, "prints-shared")
     out = None
     if spare:
-        star = shared.where("fp <> rep").select(F.least("fp", "rep").alias("a"), F.greatest("fp", "rep").alias("b")).distinct()
-        out = scratch.write(close(star, full), "star")
+        often = shared.where("fp <> rep").groupBy("fp", "rep").count().groupBy("fp").agg(F.max_by("rep", F.struct("count", "rep")).alias("rep"))
+        star = scratch.write(likely(often.select(F.col("rep").alias("a"), F.col("fp").alias("b")), prints), "star-pairs")
+        out = scratch.write(close(star, texts, scratch, "star"), "star")
         part = components(out, scratch, "star-cc")
         shared = shared.join(part.select(F.col("node").alias("fp"), F.col("root").alias("part")), "fp", "left")
     rows = shared.select("key", "fp", F.coalesce("part", "fp").alias("part") if spare else F.col("fp").alias("part"))
     pairs = None
     for level in range(LEVELS + 1):
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key", "n")
-        keyed = scratch.write(rows.join(sizes, "key"), f"blocks{level}")
-        few = keyed if level == LEVELS else keyed.where(F.col("n") <= HOT)
+        # pairs of a key between different parts: half of n^2 less the squares of the parts' counts
+        sizes = rows.groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), (F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))).alias("pairs"))
+        keyed = scratch.write(rows.join(sizes.where("pairs > 0"), "key"), f"blocks{level}")
+        few = keyed if level == LEVELS else keyed.where(F.col("pairs") <= 2 * HOT * F.col("n"))
         a, b = (few.select("key", F.col("fp").alias(s), F.col("part").alias(f"part_{s}")) for s in "ab")
-        found = a.join(b, "key").where("a < b AND part_a <> part_b").select("a", "b")
+        found = scratch.write(likely(a.join(b, "key").where("a < b AND part_a <> part_b").select("a", "b").distinct(), prints), f"pairs{level}")
         pairs = found if pairs is None else pairs.union(found)
-        hot = keyed.where(F.col("n") > HOT)
+        hot = keyed.where(F.col("pairs") > 2 * HOT * F.col("n")).select("key", "fp", "part")
         if level == LEVELS or not hot.head(1):
             break
-        rows = hot.join(full, "fp").select("key", "fp", "part", "found").mapInArrow(lambda batches, level=level + 1: _cut(batches, level), "key long, fp long, part long")
-    more = close(scratch.write(pairs.distinct(), "pairs"), full)
+        finer = all_blocks(texts, level + 1, _told(texts, hot)).select(F.col("key").alias("finer"), "fp")
+        rows = hot.join(finer, "fp").select(F.xxhash64("key", "finer").alias("key"), "fp", "part").distinct()
+    more = close(scratch.write(pairs.distinct(), "pairs"), texts, scratch, "pairs")
     return more if out is None else out.union(more)
 
 
@@ -253,15 +319,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     table: empty result. Other columns pass through.
     """
     scratch, texts = Scratch(docs.sparkSession), _texts(docs, id_col, text_col)
-
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name_of(shingles(t or "")) for t in batch.column(1).to_pylist()], pa.int64())], names=["doc_id", "fp"])
-
-    named = scratch.write(texts.mapInArrow(names, "doc_id long, fp long"), "named")
-    roots = scratch.write(components(links(texts, scratch, spare=True), scratch), "roots")
-    by_fp = named.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = scratch.write(_prints(texts), "named")
+    roots = scratch.write(components(links(texts, scratch, True, named), scratch), "roots")
+    by_fp = named.select("doc_id", "fp").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = by_fp.groupBy("root").agg(F.min("doc_id").alias("least"))
     dropped = scratch.write(by_fp.join(least, "root").where("doc_id <> least").select(F.col("doc_id").alias("id")), "dropped")
     scratch.keep("dropped")
