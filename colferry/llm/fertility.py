@@ -1,18 +1,22 @@
 """Tokeniser fertility: what public vocabularies make of a text, against bands for its language or script.
 
 Measures: characters per token of a byte-level and of a piece vocabulary, share of byte-fallback tokens of the
-latter, entropy of the former's tokens (against the most that so many tokens can have, up to ENTROPY_FULL). A text
-outside a band of its language, or of its script where the language is unknown, is rejected. There are fixed bands,
-and, where a language has documents enough, bands that the corpus itself gives: characters per token scatter about
-the language's median by 1 / sqrt(tokens), and what lies SPREADS times the usual scatter away is rejected. Medians
-come from grouped histograms over all documents. Beside the measures stand plain counts of words.
+latter, entropy of the former's tokens: of all (against the most that so many tokens can have, up to ENTROPY_FULL),
+and the mean over windows of WINDOW tokens, which does not depend on a text's length. A text outside a band of its
+language, or of its script where the language is unknown, is rejected. There are fixed bands, and bands that the
+corpus itself gives: characters per token and the windows' entropy scatter about the language's median by
+1 / sqrt(tokens), and what lies SPREADS times the usual scatter away is rejected. Medians come from grouped histograms
+over all documents. They are shrunk by empirical Bayes, a language's median towards that of all by what sampling
+explains of their difference, its scatter towards a wide prior; so few documents reject little, at any size by the
+same rule. Beside the measures stand plain counts of words.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Mapping
-from functools import cache
+from functools import cache, reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +40,12 @@ BANDS: dict[str, dict[str, float]] = {
 #: Entropy says nothing about fewer tokens than these.
 ENTROPY_TOKENS = 32
 ENTROPY_FULL = 1024
-#: Scatter that a text may have, tokens beyond which it narrows no further, documents that a language must have.
-SPREADS, SPREAD_TOKENS, SPREAD_DOCS = 8.0, 2048, 200
+#: Tokens to a window of the windows' entropy.
+WINDOW = 32
+#: Scatter that a text may have, and tokens beyond which it narrows no further.
+SPREADS, SPREAD_TOKENS = 6.0, 2048
+#: Prior scatter by measure, the documents that it counts as, and its share that the scatter never falls below.
+PRIORS, PRIOR_DOCS, LEAST_SCATTER = {"chars_per_token": 2.0, "chars_per_piece": 2.0, "window_entropy": 0.4}, 8, 0.25
 #: Widths of the histograms' bins: of characters a token, and of scatter.
 BIN, SCATTER_BIN = 0.001, 0.01
 #: Words whose pieces a worker remembers (about 200 bytes each).
@@ -103,30 +111,42 @@ def repeat_words(words: list[bytes]) -> int:
 
 
 def measure(text: str, pieces: Pieces) -> tuple:
-    """Word counts, then tokens, characters a token (both vocabularies), fallback share, entropy; None without words."""
+    """Word counts, then tokens, characters a token (both vocabularies), fallback share, both entropies; None without words."""
     words = text.encode().split()
     spaces = sum(map(text.count, SPACES))
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
     counts = (len(words), len(text) - spaces, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words))
     if not words:
-        return *counts, 0, None, None, None, None
+        return *counts, 0, None, None, None, None, None
     ids = byte_bpe().encode_to_numpy(text, disallowed_special=())
     total = sum(map(pieces.__getitem__, words))
     n_pieces, fallback = total & 0xFFFFFFFF, total >> 32
     _, each = np.unique(ids, return_counts=True)
     share = each / len(ids)
     entropy = float(-(share * np.log(share)).sum() / np.log(min(len(ids), ENTROPY_FULL))) if len(ids) > 1 else 0.0
-    return *counts, len(ids), len(text) / len(ids), counts[1] / max(1, n_pieces), fallback / max(1, n_pieces), entropy
+    return *counts, len(ids), len(text) / len(ids), counts[1] / max(1, n_pieces), fallback / max(1, n_pieces), entropy, window_entropy(ids)
+
+
+def window_entropy(ids: np.ndarray) -> float | None:
+    """Mean entropy of the windows of WINDOW ids, against the most there is; None if there is no whole one."""
+    n = len(ids) // WINDOW * WINDOW
+    if not n:
+        return None
+    rows = np.sort(ids[:n].reshape(-1, WINDOW), axis=1)
+    new = np.ones(rows.shape, bool)
+    new[:, 1:] = rows[:, 1:] != rows[:, :-1]
+    each = np.diff(np.append(np.flatnonzero(new), n))
+    return float(1 - (each * np.log(each)).sum() / n / np.log(WINDOW))
 
 
 def in_bands(m: tuple, band: Mapping[str, float]) -> bool:
-    _, by_byte, by_piece, fallback, entropy = m[5:]
+    _, by_byte, by_piece, fallback, entropy = m[5:10]
     if by_byte is None:
         return False
     return band["low"] <= by_byte <= band["high"] and PIECE_LOW * band["low"] <= by_piece <= band["high"] and fallback <= band["fallback"] and (m[5] < ENTROPY_TOKENS or entropy >= band["entropy"])
 
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, chars_per_piece double, fallback_share double, entropy double, band string"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, chars_per_piece double, fallback_share double, entropy double, band string, window_entropy double"
 
 
 def _medians(rows: DataFrame, value: str, width: float) -> DataFrame:
@@ -140,16 +160,41 @@ def _medians(rows: DataFrame, value: str, width: float) -> DataFrame:
 
 def usual(measured: DataFrame) -> DataFrame:
     """band, docs, and for both vocabularies the median and the usual scatter (1.48 x median absolute deviation)."""
-    rows = measured.where("NOT base_failed")
     out = None
-    for name in ("chars_per_token", "chars_per_piece"):
+    for name in PRIORS:
+        rows = measured.where(F.col(name).isNotNull() & ~F.col("base_failed"))
         middle = _medians(rows, name, BIN).withColumnRenamed(name, "m")
         near = rows.join(F.broadcast(middle), "band").select("band", (F.abs(F.col(name) - F.col("m")) * F.sqrt(F.least("n_tokens", F.lit(SPREAD_TOKENS)))).alias("off"))
-        both = middle.join(_medians(near, "off", SCATTER_BIN).drop("docs"), "band").select("band", "docs", F.col("m").alias(f"{name}_m"), (1.4826 * F.col("off")).alias(f"{name}_s"))
-        out = both if out is None else out.join(both.drop("docs"), "band")
+        both = middle.join(_medians(near, "off", SCATTER_BIN * PRIORS[name] / 2).drop("docs"), "band").join(rows.groupBy("band").agg(F.avg(1 / F.least("n_tokens", F.lit(SPREAD_TOKENS))).alias(f"{name}_t")), "band")
+        both = both.select("band", "docs", F.col("m").alias(f"{name}_m"), (1.4826 * F.col("off")).alias(f"{name}_s"), f"{name}_t", F.col("docs").alias(f"{name}_n"))
+        out = both if out is None else out.join(both.drop("docs"), "band", "left")
     return out
 
 
+def limits(known: list) -> list[tuple]:
+    """(band, and for each measure centre, variance of one token's worth, variance of the centre), from usual's rows.
+
+    With n texts of a language the centre's variance is n-fold less than one text's; what of the medians' differences
+    that leaves is between languages. So a median is worth n / (n + ratio of the two), the median of all the rest.
+    """
+    out = {r["band"]: [r["band"]] for r in known}
+    for name, prior in PRIORS.items():
+        rows = [r for r in known if r[f"{name}_m"] is not None]
+        total = sum(r[f"{name}_n"] for r in rows)
+        middle = sum(r[f"{name}_n"] * r[f"{name}_m"] for r in rows) / max(1, total)
+        between = sum(r[f"{name}_n"] * (r[f"{name}_m"] - middle) ** 2 for r in rows) / max(1, total)
+        for r in known:
+            if r not in rows:
+                out[r["band"]] += [None, None, None]
+                continue
+            n = r[f"{name}_n"]
+            spread = max((n * r[f"{name}_s"] ** 2 + PRIOR_DOCS * prior**2) / (n + PRIOR_DOCS), (LEAST_SCATTER * prior) ** 2)
+            one = spread * r[f"{name}_t"]
+            trust = n * between / (n * between + one)
+            out[r["band"]] += [middle + trust * (r[f"{name}_m"] - middle), spread, trust * one / n + (1 - trust) * between]
+    return [tuple(x) for x in out.values()]
+
+
 def fertility(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", bands: Mapping[str, Mapping[str, float]] = BANDS) -> DataFrame:
     """Counts, measures and verdict of every document: one pass over the texts, then grouped sums over the measures.
 
@@ -166,14 +211,17 @@ def fertility(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                     m = measure(text or "", pieces)
                     failed = m[0] < 10 or 100 * m[4] > 20 * m[0]
                     name = lang if lang in bands else script(text or "")
-                    rows.append((*m[:5], failed, not failed and in_bands(m, bands[name]), *m[5:], name))
-                kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] + [pa.float64()] * 4 + [pa.string()]
+                    rows.append((*m[:5], failed, not failed and in_bands(m, bands[name]), *m[5:10], name, m[10]))
+                kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] + [pa.float64()] * 4 + [pa.string(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     src = small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), (docs[lang_col] if lang_col else F.lit(None).cast("string")).alias("lang"))
     measured = Scratch(docs.sparkSession).write(src.mapInArrow(judge, SCHEMA), "measured")
-    known = usual(measured).where(F.col("docs") >= SPREAD_DOCS)  # one row a band: at most as many as bands has
-    joined = measured.join(F.broadcast(known), "band", "left")
-    far = lambda n: F.abs(F.col(n) - F.col(f"{n}_m")) * F.sqrt(F.least("n_tokens", F.lit(SPREAD_TOKENS))) > SPREADS * F.col(f"{n}_s")
-    odd = F.coalesce(far("chars_per_token") | far("chars_per_piece"), F.lit(False))
+    known = limits(usual(measured).collect())  # one row a band: at most as many as bands has
+    fields = [f"{name}_{x}" for name in PRIORS for x in ("m", "v", "c")]
+    table = docs.sparkSession.createDataFrame(known, ", ".join(["band string", *[f"{f} double" for f in fields]]))
+    joined = measured.join(F.broadcast(table), "band", "left")
+    tokens = F.least("n_tokens", F.lit(SPREAD_TOKENS))
+    far = lambda n: F.coalesce(F.pow(F.col(n) - F.col(f"{n}_m"), 2) > SPREADS**2 * (F.col(f"{n}_v") / tokens + F.col(f"{n}_c")), F.lit(False))
+    odd = reduce(or_, map(far, PRIORS))
     return joined.withColumn("kept", F.col("kept") & ~odd).select(*[c.split()[0] for c in SCHEMA.split(", ")])
