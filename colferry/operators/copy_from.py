@@ -34,6 +34,14 @@ def copy_from(
     so that filters and column pruning reach it. Columns not listed are null; generated ones are computed.
     """
     policy.check_target("from", parse_uri(uri))
+    return _rows_of(spark, relation, uri, options, columns, where, policy)
+
+
+def _rows_of(
+    spark: SparkSession, relation: Relation, uri: str, options: Mapping[str, object] | CopyFromOptions | None = None,
+    columns: list[str] | None = None, where: str | None = None, policy: AccessPolicy = ALLOW_ALL,
+) -> DataFrame:
+    """What copy_from does once the source is allowed."""
     parsed = options if isinstance(options, CopyFromOptions) else CopyFromOptions.parse(options)
     if relation.row_policy and not policy.superuser:
         raise FerryError("COPY FROM not supported with row-level security", "Use INSERT statements instead.")
@@ -61,14 +69,14 @@ def copy_from(
     return rows.where(where) if where else rows
 
 
-def copy_from_stream(spark: SparkSession, relation: Relation, stream: BinaryIO, options: Mapping[str, object] | None = None, **more) -> DataFrame:
+def copy_from_stream(spark: SparkSession, relation: Relation, stream: BinaryIO, options: Mapping[str, object] | None = None, policy: AccessPolicy = ALLOW_ALL, **more) -> DataFrame:
     """From bytes, spooled to the shared folder in chunks of STREAM_BYTES, as the rows are read later."""
     uri = f"{Scratch(spark).root}/in.parquet"
     fs, path = open_fs(parse_uri(uri))
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     with fs.open_output_stream(path) as spool:
         shutil.copyfileobj(stream, spool, STREAM_BYTES)
-    return copy_from(spark, relation, uri, options, policy=ALLOW_ALL, **more)
+    return _rows_of(spark, relation, uri, options, policy=policy, **more)
 
 
 def copy_from_program(spark: SparkSession, relation: Relation, command: str, options: Mapping[str, object] | None = None, policy: AccessPolicy = ALLOW_ALL, **more) -> DataFrame:
@@ -77,4 +85,4 @@ def copy_from_program(spark: SparkSession, relation: Relation, command: str, opt
         if code := subprocess.run(command, shell=True, stdout=spool, check=False).returncode:
             raise FerryError(f'program "{command}" failed with exit code {code}')
         spool.seek(0)
-        return copy_from_stream(spark, relation, spool, options, **more)
+        return copy_from_stream(spark, relation, spool, options, policy, **more)

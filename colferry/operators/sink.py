@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +29,6 @@ from colferry.sources.uri import Uri, parse_uri
 from colferry.types import ARROW_ONLY, SqlType, arrow_type, of_spark, spark_type
 
 BATCH_ROWS = 1024
-#: Below this size one task does the whole export.
-SMALL_BYTES = 64 << 20
 _GZIP = {1: "BEST_SPEED", 2: "TWO", 3: "THREE", 4: "FOUR", 5: "FIVE", 6: "SIX", 7: "SEVEN", 8: "EIGHT", 9: "BEST_COMPRESSION"}
 
 
@@ -144,6 +143,8 @@ def _write_native(df: DataFrame, columns: list[tuple[str, SqlType]], target: Uri
     if ids:
         named = named.to(_with_ids(named.schema, ids))
     fs, out = _hadoop(spark, target)
+    if fs.exists(out) and fs.getFileStatus(out).isDirectory():
+        raise _is_folder(target)
     folder = _hadoop_path(spark, f"{out.getParent()}/.tmp-{uuid.uuid4().hex}")
     wanted = {"spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS", "spark.sql.timeType.enabled": "true", "spark.sql.caseSensitive": "true", "spark.sql.parquet.fieldId.write.enabled": "true", "spark.sql.session.timeZone": "UTC"}
     writer = _one(named, df).write.option("compression", options.compression).option("parquet.block.size", options.row_group_size_bytes).option("parquet.block.row.count.limit", options.row_group_size).option("parquet.page.size.row.check.max", BATCH_ROWS)
@@ -155,14 +156,41 @@ def _write_native(df: DataFrame, columns: list[tuple[str, SqlType]], target: Uri
         try:
             writer.parquet(str(folder))
             parts = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
-            fs.delete(out, True)
-            fs.rename(parts[0], out)
+            _replace(spark, fs, parts[0], out)
         finally:
             fs.delete(folder, True)
     arrow, path = open_fs(target)
     return pq.read_metadata(path, filesystem=arrow).num_rows
 
 
+def _is_folder(target: Uri) -> FerryError:
+    return FerryError(f"cannot write to {target.text}: Is a directory")
+
+
+def _replace(spark, fs, new, out) -> None:
+    """Puts a file in another's place: at once where the file system can, else with the old one kept until it is done."""
+    jvm, options = spark._jvm, spark._jvm.org.apache.hadoop.fs.Options.Rename
+    overwrite = spark._sc._gateway.new_array(options, 1)
+    overwrite[0] = options.OVERWRITE
+    try:
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(out.toUri(), spark._jsc.hadoopConfiguration())
+    except Py4JJavaError:  # the file system has no such interface
+        context = None
+    if context is not None:
+        context.rename(new, out, overwrite)
+        return
+    old = _hadoop_path(spark, f"{out.getParent()}/.tmp-{uuid.uuid4().hex}")
+    had = fs.exists(out)
+    if had and not fs.rename(out, old):
+        raise FerryError(f"cannot replace {out}")
+    if not fs.rename(new, out):
+        if had:
+            fs.rename(old, out)
+        raise FerryError(f"cannot write {out}")
+    if had:
+        fs.delete(old, False)
+
+
 def _freed(c: Column, d: T.DataType, t: SqlType) -> Column:
     """A column whose inner fields are nullable, too."""
     if isinstance(d, T.StructType) and d != spark_type(t):
@@ -219,6 +247,9 @@ def _write_arrow(df: DataFrame, columns: list[tuple[str, SqlType]], target: Uri,
     schema = export_schema(columns, ids)
     split = options.file_size_bytes
     folder = target.path if split else target.path.rpartition("/")[0]
+    where, path = open_fs(target)
+    if not split and where.get_file_info(path).type == pafs.FileType.Directory:
+        raise _is_folder(target)
     mark = uuid.uuid4().hex
     head = Uri(target.text, target.scheme, target.bucket, f"{folder}/.tmp-{mark}", target.account)
 
@@ -305,7 +336,7 @@ def _one(stored: DataFrame, df: DataFrame) -> DataFrame:
     """One partition for one file. What comes before still runs in parallel, unless the rows are in order already."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     ordered = re.match(r"(?:(?:Project|SubqueryAlias|Filter)[^\n]*\n[\s:+-]*)*(?:Sort|GlobalLimit)\b", plan)
-    return stored.coalesce(1) if ordered or _expected_bytes(df) < SMALL_BYTES else stored.repartition(1)
+    return stored.coalesce(1) if ordered else stored.repartition(1)
 
 
 def _expected_bytes(df: DataFrame) -> int:
@@ -317,18 +348,16 @@ def _place(paths: list[str], target: Uri, split: bool) -> None:
     fs, base = open_fs(target)
     if not split:
         fs.create_dir(base.rpartition("/")[0], recursive=True)
-        if fs.get_file_info(base).type == pafs.FileType.Directory:
-            fs.delete_dir(base)
-        fs.move(paths[0], base)
+        fs.move(paths[0], base)  # over the old file, if there is one; a directory is refused before
         return
     if fs.get_file_info(base).type == pafs.FileType.File:
         fs.delete_file(base)
-    for info in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):  # children of an earlier run
-        name = info.base_name
-        if name.startswith("data_") and name.endswith(".parquet"):
-            fs.delete_file(info.path)
     for k, p in enumerate(paths):
         fs.move(p, f"{base}/data_{k}.parquet")
+    for info in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):  # children of an earlier run
+        number = re.fullmatch(r"data_(\d+)\.parquet", info.base_name)
+        if number and int(number[1]) >= len(paths) and info.is_file:
+            fs.delete_file(info.path)
 
 
 def _sweep(head: Uri) -> None:

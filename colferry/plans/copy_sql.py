@@ -7,9 +7,11 @@ import sys
 from dataclasses import dataclass, field
 from typing import BinaryIO
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from colferry.errors import FerryError
+from colferry.functions import host
 from colferry.functions.footer import FUNCTIONS, inspect
 from colferry.operators.access import ALLOW_ALL, AccessPolicy
 from colferry.operators.copy_from import copy_from, copy_from_program, copy_from_stream
@@ -187,7 +189,62 @@ class Session:
             return name
 
         names = "|".join([*FUNCTIONS, "list"])
-        return self.spark.sql(re.sub(rf"\bparquet\.({names})\s*\(\s*('(?:[^']|'')*'|null)\s*\)", view, text, flags=re.I))
+        call = re.compile(rf"parquet\.({names})\s*\(\s*('(?:[^']|'')*'|null)\s*\)", re.I)
+        out, at = [], 0
+        for token, start, end in _tokens(text):  # not within literals, quoted names and comments
+            if start >= at and token.lower() == "parquet" and (m := call.match(text, start)):
+                out += [text[at:start], view(m)]
+                at = m.end()
+        host.register(self.spark)
+        return self.spark.sql(host.rewrite("".join([*out, text[at:]])))
+
+    def guarded(self, text: str) -> DataFrame:
+        """A query under the policy: of each table it names, the columns that may be read and the rows of its row policy.
+
+        While the query is analysed, views of the tables' names hold just these. A query that gets other columns by
+        them than without them reads what it may not.
+        """
+        if self.policy.superuser:
+            return self.query(text)
+        free = self.query(text)
+        plan = str(self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString())
+        named = {tuple(p.strip().strip("`") for p in m.split(",")) for m in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", plan)}
+        inner = set(re.findall(r"CTE \[([^\]]*)\]", plan))
+        views = {n for names in inner for n in re.split(r",\s*", names)}
+        restored: list = []
+        touched: list[str] = []
+        try:
+            for parts in sorted(named):
+                name = ".".join(parts)
+                if len(parts) == 1 and name in views and not self.spark.catalog.tableExists(name):
+                    continue
+                relation, columns = self.relation(name), [f.name for f in self.rows(name).schema]
+                grants = self.policy.selects
+                if grants is not None and name not in grants:
+                    raise FerryError(f"permission denied for table {name}")
+                allowed = columns if grants is None or grants[name] is None else [c for c in columns if c in grants[name]]
+                if allowed == columns and not relation.row_policy:
+                    continue
+                if len(parts) > 1:
+                    raise FerryError(f"permission denied for table {name}", "Tables with row or column policies can be queried by their bare names alone.")
+                rows = self.rows(name)
+                temporary = any(t.name == name and t.isTemporary for t in self.spark.catalog.listTables())
+                restored.append((name, rows if temporary else None))
+                touched.append(name)
+                kept = rows.where(relation.row_policy) if relation.row_policy else rows
+                kept.select(*[kept[c] for c in allowed]).createOrReplaceTempView(name)
+            if not touched:
+                return free
+            try:
+                out = self.query(text)
+            except AnalysisException:
+                out = None
+            if out is None or out.columns != free.columns:
+                raise FerryError(f"permission denied for table {', '.join(touched)}")
+            return out
+        finally:
+            for name, rows in restored:
+                self.spark.catalog.dropTempView(name) if rows is None else rows.createOrReplaceTempView(name)
 
     def read(self, statement: CopyStatement, stdin: BinaryIO | None = None) -> DataFrame:
         """What a COPY FROM would add, lazily."""
@@ -197,11 +254,11 @@ class Session:
         if statement.kind == "program":
             return copy_from_program(self.spark, relation, statement.target, options, self.policy, **more)
         if statement.kind == "stdin":
-            return copy_from_stream(self.spark, relation, stdin or sys.stdin.buffer, options, **more)
+            return copy_from_stream(self.spark, relation, stdin or sys.stdin.buffer, options, self.policy, **more)
         return copy_from(self.spark, relation, statement.target, options, policy=self.policy, **more)
 
     def _to(self, s: CopyStatement, stdout: BinaryIO | None) -> int:
-        rows = self.query(s.query) if s.query is not None else select_relation(self.relation(s.relation), self.rows(s.relation), s.columns, self.policy)
+        rows = self.guarded(s.query) if s.query is not None else select_relation(self.relation(s.relation), self.rows(s.relation), s.columns, self.policy)
         if s.kind == "program":
             return copy_to_program(rows, s.target, s.options, self.policy)
         if s.kind == "stdout":

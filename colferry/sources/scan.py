@@ -40,10 +40,45 @@ def open_fs(uri: Uri) -> tuple[pafs.FileSystem, str]:
             while chunk := source.read(65_536):
                 spool.write(chunk)
         return pafs.LocalFileSystem(), spool.name
+    if uri.scheme == "azure":
+        return pafs.AzureFileSystem(**azure_arguments(uri)), f"{uri.bucket}/{uri.path}"
+    if uri.scheme == "gs":
+        return pafs.GcsFileSystem(**gcs_arguments(uri)), f"{uri.bucket}/{uri.path}"
     fs, path = pafs.FileSystem.from_uri(uri.hadoop)
     return fs, path
 
 
+def azure_arguments(uri: Uri) -> dict[str, str]:
+    """Arrow's arguments for the credentials that store_conf finds for Hadoop."""
+    conf = store_conf(uri)
+    account = next((k.split(".")[-5] for k in conf if k.endswith(".dfs.core.windows.net")), uri.account or os.environ.get("AZURE_STORAGE_ACCOUNT", ""))
+    host = f"{account}.dfs.core.windows.net"
+    tenant = conf.get(f"fs.azure.account.oauth2.client.endpoint.{host}", "").removeprefix("https://login.microsoftonline.com/").partition("/")[0]
+    found = {
+        "account_key": conf.get(f"fs.azure.account.key.{host}"),
+        "sas_token": conf.get(f"fs.azure.sas.fixed.token.{host}"),
+        "client_id": conf.get(f"fs.azure.account.oauth2.client.id.{host}"),
+        "client_secret": conf.get(f"fs.azure.account.oauth2.client.secret.{host}"),
+        "tenant_id": tenant or None,
+    }
+    return {"account_name": account} | {k: v for k, v in found.items() if v}
+
+
+def gcs_arguments(uri: Uri) -> dict[str, str]:
+    """Arrow takes a service account from the file that the environment names; here it is named, and written if need be."""
+    conf = store_conf(uri)
+    if path := conf.get("fs.gs.auth.service.account.json.keyfile"):
+        os.environ.setdefault("GOOGLE_APPLICATION_CREDENTIALS", path)
+    elif key := conf.get("fs.gs.auth.service.account.json"):
+        if "GOOGLE_APPLICATION_CREDENTIALS" not in os.environ:
+            fd, path = tempfile.mkstemp(prefix="colferry-", suffix=".json")  # for this process alone
+            with os.fdopen(fd, "w") as f:
+                f.write(key)
+            atexit.register(lambda: os.path.exists(path) and os.remove(path))
+            os.environ["GOOGLE_APPLICATION_CREDENTIALS"] = path
+    return {}
+
+
 def footer(text: str) -> pq.FileMetaData:
     fs, path = open_fs(parse_uri(text))
     try:
