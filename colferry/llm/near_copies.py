@@ -127,7 +127,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     for whole in batches:
-        for batch in slices(whole):
+        for batch in slices(whole, 2 << 20):
             yield [shingles(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
 
 
@@ -245,7 +245,7 @@ def close(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> Da
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine, told = None, None, None
         for whole_batch in batches:
-            for batch in slices(whole_batch):
+            for batch in slices(whole_batch, 2 << 20):
                 out: list[tuple] = []
                 for hub, part, fp, found in zip(*(batch.column(c).to_pylist() for c in range(4))):
                     if (hub, part) != last:
@@ -267,7 +267,7 @@ def _prints(texts: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, 2 << 20):
                 found = [shingles(t or "") for t in batch.column(1).to_pylist()]
                 cols = [pa.array([name_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([print_of(x) for x in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "fp", "n", "print"])

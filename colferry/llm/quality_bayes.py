@@ -129,7 +129,8 @@ def verdicts(docs: DataFrame, weights: np.ndarray, text_col: str = "text", host_
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(weights)  # a thousand numbers
     group = lambda c: F.coalesce(docs[c].cast("string"), F.lit("\0null")) if c else F.lit("")
-    src = small_batches(docs).select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[text_col].alias("__t"), group(host_col).alias("__h"), group(path_col).alias("__p"))
+    names, text_at = docs.columns, [c.lower() for c in docs.columns].index(text_col.lower())
+    src = small_batches(docs).select(F.struct(*[docs[c] for c in names]).alias("__row"), group(host_col).alias("__h"), group(path_col).alias("__p"))
 
     def evidence(texts: pa.Array) -> pa.Array:
         w = model.value
@@ -143,11 +144,11 @@ def verdicts(docs: DataFrame, weights: np.ndarray, text_col: str = "text", host_
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), evidence(batch.column(1))], names=["__row", "__h", "__p", "__evidence"])
+            for batch in slices(whole, 4 << 20):
+                yield pa.RecordBatch.from_arrays([*batch.columns, evidence(batch.column(0).field(text_at))], names=["__row", "__h", "__p", "__evidence"])
 
     share = 1 / (1 + F.exp(-F.col("__evidence")))
-    paths = src.select("__h", "__p", "__t").mapInArrow(score, "__h string, __p string, __evidence double").groupBy("__h", "__p").agg(F.count("*").alias("n"), F.sum(share).alias("s"))
+    paths = src.select("__h", "__p", F.col("__row")[text_col].alias("__t")).mapInArrow(score, "__h string, __p string, __evidence double").groupBy("__h", "__p").agg(F.count("*").alias("n"), F.sum(share).alias("s"))
     paths = Scratch(spark).write(paths, "paths")
     hosts = paths.groupBy("__h").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
