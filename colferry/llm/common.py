@@ -29,6 +29,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with more underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batch, max_bytes: int = 8 << 20) -> Iterator:
     """Row ranges of an Arrow batch of about max_bytes each, so that long texts don't meet in memory."""
     rows = max(1, int(batch.num_rows * max_bytes / max(1, batch.nbytes)))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colferry.llm.common import Scratch, slices, small_batches
+from colferry.llm.common import Scratch, free_name, slices, small_batches
 
 #: Labelled documents that the model is fitted on at most (those with the least hash of their id).
 SAMPLE_ROWS = 4000
@@ -113,15 +113,8 @@ def classify(docs: DataFrame, weights: np.ndarray, text_col: str = "text", host_
     rows are judged each; an empty table gives none. Other columns pass through, whatever their names: where docs has
     a column of a verdict's name, the verdict's gets one more underscore, until it is free.
     """
-    taken = {c.lower() for c in docs.columns}
-
-    def free(name: str) -> str:
-        while name in taken:
-            name = f"_{name}"
-        return name
-
     judged = verdicts(docs, weights, text_col, host_col, path_col, threshold)
-    return judged.select("row.*", *[F.col(f"verdict.{c}").alias(free(f"__{c}")) for c in ("evidence", "host", "path", "posterior", "kept")])
+    return judged.select("row.*", *[F.col(f"verdict.{c}").alias(free_name(docs, f"__{c}")) for c in ("evidence", "host", "path", "posterior", "kept")])
 
 
 def verdicts(docs: DataFrame, weights: np.ndarray, text_col: str = "text", host_col: str | None = "source", path_col: str | None = "lang", threshold: float = THRESHOLD) -> DataFrame:

@@ -114,7 +114,7 @@ def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") ->
     """The rows of docs whose id isn't among dropped.id. Few ids are broadcast; more are joined by shuffle."""
     few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     dropped = dropped.select(F.col("id").alias("__dropped")).distinct()
-    return docs.join(F.broadcast(dropped) if few else dropped, docs[id_col] == F.col("__dropped"), "left_anti")
+    return docs.join(F.broadcast(dropped) if few else dropped, docs[id_col] == dropped["__dropped"], "left_anti")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

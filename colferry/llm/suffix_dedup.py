@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colferry.llm.common import Scratch, slices, small_batches
+from colferry.llm.common import Scratch, free_name, slices, small_batches
 from colferry.llm.suffix_sort import Store, suffixes
 
 MATCH, K = 100, 32
@@ -39,8 +39,12 @@ MEMORY_BYTES, KNOWN = 48 << 20, 400_000
 BROADCAST_BYTES = 32 << 20
 #: Whole copies up to which their ids (16 bytes) are broadcast.
 BROADCAST_COPIES = 1 << 20
-#: A null id comes after all others.
-NULL_ID = (1 << 63) - 1
+#: Documents with repeated places up to which their ids are broadcast (8 bytes each), so that others' texts aren't shuffled.
+BROADCAST_DOCS = 1 << 21
+#: Bytes of text to a bucket in which anchors are told apart; a task holds one bucket at a time.
+BUCKET_BYTES = 4 << 20
+#: Documents without an id come after all others, by 62 bits of their text's hash.
+NULL_ID = 1 << 62
 _MIX = np.random.default_rng(100).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,8 +108,8 @@ def reach(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(low, 0), np.minimum(high, len(h) - WINDOW)
 
 
-def _key(id_col: Column) -> Column:
-    return F.coalesce(id_col.cast("long"), F.lit(NULL_ID))
+def _key(id_col: Column, text_col: Column) -> Column:
+    return F.coalesce(id_col.cast("long"), F.xxhash64(F.coalesce(text_col, F.lit(""))).bitwiseAND(F.lit(NULL_ID - 1)).bitwiseOR(F.lit(NULL_ID)))
 
 
 def _rows(kinds: str, *cols) -> pa.RecordBatch:
@@ -426,33 +430,37 @@ def sort_shards(rows: DataFrame, shards: int) -> DataFrame:
         finally:
             shard.drop()
 
+    tasks = min(shards, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a task sorts its shards one by one
     spread = F.when(F.col("shard") < 0, F.pmod(F.hash("doc", "start"), F.lit(shards))).otherwise(F.col("shard"))
-    return rows.withColumn("__to", spread).repartition(shards, "__to").sortWithinPartitions("shard").drop("__to").mapInArrow(work, COVERED)
+    return rows.withColumn("__to", spread).repartition(tasks, "__to").sortWithinPartitions("shard").drop("__to").mapInArrow(work, COVERED)
 
 
-def copies(src: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc, version, start, end) of documents that are whole copies of an earlier one and have MATCH bytes."""
+def copies(src: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(doc, version, start, end) of documents that are whole copies of an earlier one and have MATCH bytes; all texts' bytes."""
     ids = scratch.write(src.where(F.octet_length("text") >= MATCH).select("doc", "version", F.xxhash64(F.lit(1), "text").alias("check"), F.octet_length("text").cast("long").alias("end")), "ids")
     first = ids.groupBy("version", "check").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("last > first").drop("last")
     found = ids.join(first, ["version", "check"]).where("doc > first").select("doc", "version", F.lit(0).cast("long").alias("start"), "end")
-    return scratch.write(found.distinct(), "copies")
+    return scratch.write(found.distinct(), "copies"), ids.agg(F.sum("end")).first()[0] or 0
 
 
 def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, version, spans (packed RUN records, disjoint): bytes covered by a string that also starts earlier."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    src = small_batches(docs).select(_key(docs[id_col]).alias("doc"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    src = small_batches(docs).select(_key(docs[id_col], docs[text_col]).alias("doc"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     src = src.withColumn("version", F.xxhash64("text"))
-    again = copies(src, scratch)
+    again, size = copies(src, scratch)
     few = again.count() <= BROADCAST_COPIES
     names = again.select("doc", "version")
     src = src.join(F.broadcast(names) if few else names, ["doc", "version"], "left_anti").select("doc", "text", "version")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    places = scratch.write(repeated_places(src, 4 * parts), "places")
+    places = scratch.write(repeated_places(src, parts * max(1, -(-size // parts // BUCKET_BYTES))), "places")
     by_doc = places.groupBy("doc").agg(F.collect_set("at").alias("places"))  # some thirtieth of a document's bytes
     shards = max(1, -(-places.count() * (MATCH + BESIDE) // SHARD_BYTES))
-    # by shuffle at any size: so the cost follows the input
+    having = scratch.write(places.select("doc").distinct(), "having")
+    if having.count() <= BROADCAST_DOCS:
+        src = src.join(F.broadcast(having), "doc", "left_semi")
+    # the places by shuffle at any size: so the cost follows the input
     cut = segments(src.hint("merge").join(by_doc, "doc").select("doc", "text", "version", "places"), shards)
     found = sort_shards(cut, shards)
 
@@ -474,13 +482,16 @@ def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return spans
 
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs and columns __spans (an array of version and packed spans, null where nothing is covered)."""
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """docs and one column more, whose name is given, too: an array of version and packed spans, null where nothing is covered."""
     spans = covered_spans(docs, id_col, text_col)
     # rows with one id and different texts are told apart by the text's hash
     of_doc = spans.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("version", "spans")).alias("__spans"))
     size = spans.agg(F.sum(F.length("spans") + 24)).first()[0] or 0
-    return docs.join(F.broadcast(of_doc) if size <= BROADCAST_BYTES else of_doc, _key(docs[id_col]) == F.col("__doc"), "left").drop("__doc")
+    name = free_name(docs, "__spans")
+    small = F.broadcast(of_doc) if size <= BROADCAST_BYTES else of_doc
+    joined = docs.join(small, _key(docs[id_col], docs[text_col]) == of_doc["__doc"], "left")
+    return joined.select(*[docs[c] for c in docs.columns], of_doc["__spans"].alias(name)), name
 
 
 def _own(raw: bytes, spans: list | None) -> np.ndarray:
@@ -501,7 +512,8 @@ DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, each cut by its spans.
 
-    Null text: empty. A null id comes after all others. Rows with one id and one text are one document (removed
+    Null text: empty. Documents without an id come after all others (ids are taken to be below 2^62), by their texts'
+    hashes, each text a document of its own. Rows with one id and one text are one document (removed
     alike); with one id and unlike texts, the text's hash orders them. Texts below MATCH bytes stay whole, long ones
     are read whole. Empty table: empty result. Other columns are not read.
     """
@@ -517,16 +529,20 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 cols = list(zip(*out)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=[c.split()[0] for c in DIGEST.split(", ")])
 
-    joined = with_spans(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), "doc_id", "text")
-    return joined.select("doc_id", "text", "__spans").mapInArrow(work, DIGEST)
+    joined, _ = with_spans(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")))
+    return joined.mapInArrow(work, DIGEST)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the covered bytes cut from their texts; bytes of a character cut in two are dropped with it."""
+    """docs with the covered bytes cut from their texts; bytes of a character cut in two are dropped with it.
+
+    Other columns pass through, whatever their names; a null text stays null; null ids as in digest.
+    """
+    joined, name = with_spans(docs, id_col, text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            at, s = whole.schema.get_field_index(text_col), whole.schema.get_field_index("__spans")
+            at, s = whole.schema.get_field_index(text_col), whole.schema.get_field_index(name)
             for batch in slices(whole):
                 texts = []
                 for text, spans in zip(batch.column(at).to_pylist(), batch.column(s).to_pylist()):
@@ -537,4 +553,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 cols = [pa.array(texts, batch.schema.field(k).type) if k == at else batch.column(k) for k in range(batch.num_columns) if k != s]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for k, f in enumerate(batch.schema) if k != s])
 
-    return with_spans(docs, id_col, text_col).mapInArrow(work, docs.schema)
+    return joined.mapInArrow(work, docs.schema)
