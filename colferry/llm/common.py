@@ -6,6 +6,7 @@ import base64
 from collections.abc import Iterator
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from colferry.scratch import Scratch  # noqa: F401
@@ -13,7 +14,7 @@ from colferry.scratch import Scratch  # noqa: F401
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 SPACES = " \t\n\x0b\x0c\r"
 SPECIAL = "<|endoftext|>"
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,23 @@ def slices(batch, max_bytes: int = 8 << 20) -> Iterator:
     rows = max(1, int(batch.num_rows * max_bytes / max(1, batch.nbytes)))
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+    give_back()
+
+
+@cache
+def _trim():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: workers stay, idle, while others of the executor work."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 @cache
