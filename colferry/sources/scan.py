@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import base64
+import io
 import os
+import shutil
 import tempfile
 import urllib.request
 from collections.abc import Iterator
@@ -34,12 +36,7 @@ def open_fs(uri: Uri) -> tuple[pafs.FileSystem, str]:
         keys = {"access_key": "fs.s3a.access.key", "secret_key": "fs.s3a.secret.key", "session_token": "fs.s3a.session.token", "region": "fs.s3a.endpoint.region", "endpoint_override": "fs.s3a.endpoint"}
         return pafs.S3FileSystem(**{k: conf[v] for k, v in keys.items() if v in conf}), f"{uri.bucket}/{uri.path}"
     if uri.scheme in ("http", "https"):
-        spool = tempfile.NamedTemporaryFile(prefix="colferry-", suffix=".parquet", delete=False)
-        atexit.register(lambda: os.path.exists(spool.name) and os.remove(spool.name))  # private to this process
-        with urllib.request.urlopen(uri.text) as source, spool:
-            while chunk := source.read(65_536):
-                spool.write(chunk)
-        return pafs.LocalFileSystem(), spool.name
+        return pafs.PyFileSystem(HttpFiles()), uri.text
     if uri.scheme == "azure":
         return pafs.AzureFileSystem(**azure_arguments(uri)), f"{uri.bucket}/{uri.path}"
     if uri.scheme == "gs":
@@ -48,6 +45,76 @@ def open_fs(uri: Uri) -> tuple[pafs.FileSystem, str]:
     return fs, path
 
 
+class _HttpFile(io.RawIOBase):
+    """A file read by ranges; from a server that has none, by way of a nameless temporary file."""
+
+    def __init__(self, url: str) -> None:
+        self.url, self.at, self.spool = url, 0, None
+        with urllib.request.urlopen(urllib.request.Request(url, headers={"Range": "bytes=0-0"})) as answer:
+            if answer.status == 206:
+                self.size = int(answer.headers["Content-Range"].rpartition("/")[2])
+                return
+            self.spool = tempfile.TemporaryFile()  # gone with its handle, however the process ends
+            shutil.copyfileobj(answer, self.spool, 65_536)
+            self.size = self.spool.tell()
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, to: int, whence: int = 0) -> int:
+        self.at = (0, self.at, self.size)[whence] + to
+        return self.at
+
+    def readinto(self, out) -> int:
+        n = min(len(out), self.size - self.at)
+        if n <= 0:
+            return 0
+        if self.spool:
+            self.spool.seek(self.at)
+            data = self.spool.read(n)
+        else:
+            with urllib.request.urlopen(urllib.request.Request(self.url, headers={"Range": f"bytes={self.at}-{self.at + n - 1}"})) as answer:
+                data = answer.read(n)
+        out[: len(data)] = data
+        self.at += len(data)
+        return len(data)
+
+    def close(self) -> None:
+        if self.spool:
+            self.spool.close()
+        super().close()
+
+
+class HttpFiles(pafs.FileSystemHandler):
+    """Single files over HTTP, for reading; paths are URLs."""
+
+    def get_type_name(self) -> str:
+        return "http"
+
+    def normalize_path(self, path: str) -> str:
+        return path
+
+    def open_input_file(self, path: str) -> pa.NativeFile:
+        return pa.PythonFile(io.BufferedReader(_HttpFile(path), 1 << 16), mode="r")
+
+    open_input_stream = open_input_file
+
+    def get_file_info(self, paths: list[str]) -> list[pafs.FileInfo]:
+        return [pafs.FileInfo(p, pafs.FileType.File) for p in paths]
+
+    def _refuse(self, *args, **more):
+        raise FerryError("http(s) targets are single files, to be read or put as a whole")
+
+    get_file_info_selector = create_dir = delete_dir = delete_dir_contents = delete_root_dir_contents = delete_file = _refuse
+    move = copy_file = open_output_stream = open_append_stream = _refuse
+
+
 def azure_arguments(uri: Uri) -> dict[str, str]:
     """Arrow's arguments for the credentials that store_conf finds for Hadoop."""
     conf = store_conf(uri)

@@ -145,3 +145,39 @@ def test_streams_may_split(spark, tmp_path):
     copy_stream_to(read_stream(spark, relation, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check", {"file_size_bytes": "1MB"}, once=True).awaitTermination()
     assert copy_from(spark, relation, f"{tmp_path}/out/**/data_*.parquet").count() == 1000
     assert read_stream(spark, relation, f"{tmp_path}/out").isStreaming
+
+
+def test_c5_http_by_ranges(spark, tmp_path, monkeypatch):
+    """From a server with ranges only parts are read, and no file is left."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from colferry.sources.scan import footer
+
+    path = f"{tmp_path}/x.parquet"
+    copy_to(spark.range(300_000).toDF("a"), path)
+    with open(path, "rb") as f:
+        data = f.read()
+    sent = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            first, last = self.headers["Range"].removeprefix("bytes=").split("-")
+            part = data[int(first) : int(last) + 1]
+            sent.append(len(part))
+            self.send_response(206)
+            self.send_header("Content-Range", f"bytes {first}-{int(first) + len(part) - 1}/{len(data)}")
+            self.end_headers()
+            self.wfile.write(part)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("ALLOW_HTTP", "true")
+    spark.sparkContext.environment["ALLOW_HTTP"] = "true"
+    uri = f"http://127.0.0.1:{server.server_port}/x.parquet"
+    assert footer(uri).num_rows == 300_000 and sum(sent) < len(data) / 2
+    assert copy_from(spark, Relation.of("t", "a int8"), uri).agg(F.sum("a")).first()[0] == 300_000 * 299_999 // 2
+    server.shutdown()
