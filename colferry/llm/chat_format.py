@@ -3,7 +3,8 @@
 A turn is [role id] text ids [end id]; as text `### Role:\\n` text `\\n</turn>\\n`. A role other than the four known
 ones is [other id] role ids [colon id]. Content cannot make a reserved id, as it is encoded as ordinary text, and a
 control string inside it gets one backslash more before it, which reading back takes off again. A control string of
-the template never has a backslash before it: a newline always does. The loss mask is the prefix sum of +1 where an
+the template never has a backslash before it: a newline or, where a role of another name ends, a space always does;
+so the shown text alone can be read back, too. The loss mask is the prefix sum of +1 where an
 assistant text begins and -1 where it ends.
 """
 
@@ -23,7 +24,7 @@ ROLES = ("system", "user", "assistant", "tool")
 FIRST_ID = 50257
 ROLE_ID = {role: FIRST_ID + k for k, role in enumerate(ROLES)}
 OTHER, COLON, END = FIRST_ID + 4, FIRST_ID + 5, FIRST_ID + 6
-SHOWN = {i: f"### {r.capitalize()}:\n" for r, i in ROLE_ID.items()} | {OTHER: "### [", COLON: "]:\n", END: "\n</turn>\n"}
+SHOWN = {i: f"### {r.capitalize()}:\n" for r, i in ROLE_ID.items()} | {OTHER: "### [", COLON: " ]:\n", END: "\n</turn>\n"}
 _CONTROL = r"(?=### (?:System|User|Assistant|Tool):|### \[|\]:\n|</turn>|<\|)"
 _ESCAPE, _UNESCAPE = re.compile(r"(?<!\\)(\\*)" + _CONTROL), re.compile(r"\\(\\*)" + _CONTROL)
 

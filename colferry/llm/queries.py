@@ -75,7 +75,7 @@ WITH t AS (
   UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '{PLANTED}' FROM range(2) r(k)
 ), m AS (
   SELECT *, length(text) + len(regexp_extract_all(text, '{_CONTROLS}')) + 9
-    + CASE WHEN role IN ('system', 'user', 'assistant', 'tool') THEN length(role) + 6 ELSE 8 + length(role) + len(regexp_extract_all(role, '{_CONTROLS}')) END AS shown
+    + CASE WHEN role IN ('system', 'user', 'assistant', 'tool') THEN length(role) + 6 ELSE 9 + length(role) + len(regexp_extract_all(role, '{_CONTROLS}')) END AS shown
   FROM t
 )
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
