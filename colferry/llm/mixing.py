@@ -33,27 +33,44 @@ def id_hash(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+def sums_before(rows: DataFrame, order: list[Column], sums: dict[str, str], scratch: Scratch | None) -> DataFrame:
+    """rows and, by name, sums of a column over the rows before each in that order. Without scratch in one window, of
+    few rows; else in ranges of the order, whose own sums (one row a range) are added up first."""
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    if scratch is None:
+        return rows.select("*", *[F.coalesce(F.sum(c).over(before(Window.orderBy(*order))), F.lit(0)).alias(name) for name, c in sums.items()])
+    ranges = scratch.write(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), f"by-{'-'.join(sums)}")
+    ends = sorted(ranges.groupBy("range").agg(*[F.sum(c).alias(name) for name, c in sums.items()]).collect())
+    kinds = [ranges.groupBy().agg(F.sum(c).alias("s")).schema["s"].dataType.simpleString() for c in sums.values()]
+    begins, so_far = [], [0.0 if x == "double" else 0 for x in kinds]
+    for end in ends:
+        begins.append((end["range"], *so_far))
+        so_far = [x + y for x, y in zip(so_far, list(end)[1:])]
+    begin = rows.sparkSession.createDataFrame(begins, ", ".join(["range int", *[f"begin{k} {t}" for k, t in enumerate(kinds)]]))
+    own = before(Window.partitionBy("range").orderBy(*order))
+    both = ranges.join(F.broadcast(begin), "range")
+    return both.select(*rows.columns, *[(F.col(f"begin{k}") + F.coalesce(F.sum(c).over(own), F.lit(0))).alias(name) for k, (name, c) in enumerate(sums.items())])
+
+
+def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, scratch: Scratch | None = None) -> DataFrame:
     """(source, source_size) with target: weighted shares of share x all sizes, filled up to cap x source_size.
 
     Sources stand in order of code points, null last; weights repeat. The level at which the uncapped sources share
-    the rest comes from prefix sums over the sources by size for weight, in one pass. One small row per source.
+    the rest comes from prefix sums over the sources by size for weight, in one pass. One small row per source; where
+    they are many, scratch says where their ranges may be written.
     """
-    by_name = Window.orderBy(F.col("source").cast("binary").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    rows = sizes.select("source", "source_size", weight.alias("w"))
-    by_level = Window.orderBy(F.col("source_size") / F.col("w"), F.col("source").cast("binary").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.select(
-        "source", "source_size", "w",
-        (F.sum("source_size").over(every) * share).alias("total"), F.sum("w").over(every).alias("all_w"),
-        F.coalesce(F.sum("source_size").over(before) * cap, F.lit(0.0)).alias("cap_before"), F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("w_before"),
-    )
-    level = (F.col("total") - F.col("cap_before")) / (F.col("all_w") - F.col("w_before"))
+    name = F.col("source").cast("binary").asc_nulls_last()
+    placed = sums_before(sizes.select("source", "source_size", F.lit(1).alias("one")), [name], {"place": "one"}, scratch)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = placed.select("source", "source_size", weight.alias("w"))
+    rows = scratch.write(rows, "weights") if scratch else rows
+    every = rows.agg(F.sum("source_size").alias("sizes"), F.sum("w").alias("all_w")).first()
+    sizes_of_all, all_w = every["sizes"] or 0, every["all_w"] or 0.0
+    levels = sums_before(rows, [F.col("source_size") / F.col("w"), name], {"size_before": "source_size", "w_before": "w"}, scratch)
+    level = (F.lit(sizes_of_all * share) - F.col("size_before") * cap) / (F.lit(all_w) - F.col("w_before"))
     # the level rises while sources fall short of it and sinks from the first that doesn't: its peak is the right one
-    peak = F.max(level).over(every)
-    return rows.select("source", "source_size", F.least(peak * F.col("w"), (F.col("source_size") * cap).cast("double")).cast("double").alias("target"))
+    peak = levels.agg(F.max(level)).first()[0] or 0.0
+    return rows.select("source", "source_size", F.least(F.lit(peak) * F.col("w"), (F.col("source_size") * cap).cast("double")).cast("double").alias("target"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -68,8 +85,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spark = docs.sparkSession
     scratch = Scratch(spark)
     sized = scratch.write(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), id_hash(docs[id_col]).alias("hash")), "sized")
-    per_source = scratch.write(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap).coalesce(1), "sources")
-    few = per_source.count() <= BROADCAST_SOURCES
+    sizes = scratch.write(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
+    few = sizes.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    targets = source_targets(sizes, weights, share, cap, None if few else scratch)
+    per_source = scratch.write(targets.coalesce(1) if few else targets, "sources")
     hint = F.broadcast if few else lambda df: df
 
     # rounds: whole copies of the source; rest: words still to be taken below the threshold
