@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colferry.llm.chat_format import format_turns, read_back
 from colferry.llm.common import table
 from colferry.llm.fertility import fertility
 from colferry.llm.mixing import CAP, SHARE, WEIGHTS, mix
-from colferry.llm.packing import pack
+from colferry.llm.packing import CAPACITY, pack
 from colferry.llm.quality_bayes import classify, train
 from colferry.llm.simhash import near_duplicates
 from colferry.llm.suffix_dedup import digest
@@ -51,6 +51,27 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def packing_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of op5's sequences: no overflow, no gap, cuts as stated, and no two sequences that one could hold."""
+    packed = pack(table(spark, sf_dir, "documents"))
+    before = Window.partitionBy("sequence_id").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
+    rows = packed.withColumn("due", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    own = Window.partitionBy("doc_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("from", F.coalesce(F.sum("length").over(own), F.lit(0)))
+    count = lambda c: F.count(F.when(c, 1))
+    of_row = rows.agg(
+        F.countDistinct("doc_id").alias("docs"), count(F.col("offset") + F.col("length") > CAPACITY).alias("over_capacity"), count(F.col("due") != F.col("offset")).alias("gaps"),
+        count((F.col("from") != F.col("start")) | (F.col("piece") > 0) & (F.col("length") != CAPACITY)).alias("wrong_cuts"),
+    )
+    half = packed.groupBy("sequence_id").agg(F.sum("length").alias("held")).where(F.col("held") <= CAPACITY // 2).count()
+    return of_row.withColumn("half_empty_pairs", F.lit(max(0, half - 1)).cast("long"))
+
+
+def fertility_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op1 that SQL can express."""
+    return op1_token_fertility(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op6_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -115,6 +136,33 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+#: The given pages mark their articles, so SQL can say what must come out of them, though not how wrappers find it.
+OP6_SQL = r"""
+WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '<article>((?:.|\n)*)</article>', 1), '') AS inner_html FROM pages
+), b AS (
+  SELECT page_id, url, list_filter(list_transform(string_split_regex(inner_html, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(
+    regexp_replace(replace(x, '<br>', ' '), '</?b>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '[ \t-\r]+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM a
+)
+SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, length(array_to_string(blocks, chr(10))) AS n_chars FROM b
+"""
+
+BASE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents
+), w AS (SELECT k, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '[\x20\x09-\x0D]', '', 'g') <> '') AS lines FROM d
+), s AS (SELECT k, i, words[i : i + 4] AS five FROM (SELECT k, words, unnest(range(1, greatest(len(words) - 3, 1))) AS i FROM w WHERE len(words) > 4)
+), t AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, five) AS n FROM s) WHERE n > 1
+), r AS (SELECT k, CAST(count(DISTINCT i + j) AS BIGINT) AS n FROM t, range(5) x(j) GROUP BY k
+), c AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN r USING (k)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c
+"""
+
+PACKED_SQL = """
+SELECT count(DISTINCT doc_id) AS docs, CAST(0 AS BIGINT) AS over_capacity, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS wrong_cuts, CAST(0 AS BIGINT) AS half_empty_pairs FROM documents
+"""
+
 OP7_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
@@ -168,8 +216,8 @@ FROM c LEFT JOIN f USING (k)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_fertility, op2_quality_bayes, op3_chat_format, op4_voronoi_knn, op5_best_fit_packing, op6_html_wrapper, op7_source_mixing, op8_simhash, op9_url_filter, op10_suffix_array)}
+    return {f.__name__: f for f in (op1_token_fertility, op2_quality_bayes, op3_chat_format, op4_voronoi_knn, op5_best_fit_packing, op6_html_wrapper, op7_source_mixing, op8_simhash, op9_url_filter, op10_suffix_array, packing_invariants, fertility_base_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op4_voronoi_knn": OP4_SQL, "op7_source_mixing": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_suffix_array": OP10_SQL}
+    return {"op3_chat_format": OP3_SQL, "op4_voronoi_knn": OP4_SQL, "op6_html_wrapper": OP6_SQL, "packing_invariants": PACKED_SQL, "fertility_base_counts": BASE_SQL, "op7_source_mixing": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_suffix_array": OP10_SQL}
