@@ -116,7 +116,8 @@ def blocks(sets: list[np.ndarray], level: int = 0) -> tuple[np.ndarray, np.ndarr
             sim, which = np.append(sim, np.full(len(empty), 12345, np.uint64)), np.append(which, empty)
             owner = np.append(owner, np.full(len(empty), r))
         with np.errstate(over="ignore"):
-            keys.append(_mixed(sim + _mixed(which * _ODD + p[owner] * _MORE + np.uint64(level))))
+            key = _mixed(sim + _mixed(which * _ODD + p[owner] * _MORE + np.uint64(level)))
+        keys.append(key & ~np.uint64(1) | p[owner] & np.uint64(1))  # the last bit tells a set's two spreadings apart
         owners.append(rows[owner])
     return np.concatenate(keys), np.concatenate(owners)
 
@@ -142,6 +143,13 @@ def _told(texts: DataFrame, fps: DataFrame):
     return texts.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in fps.collect()], np.int64)) if few else None)
 
 
+def holders(texts: DataFrame, prints: DataFrame, fps: DataFrame) -> DataFrame:
+    """Rows of texts in which all the sets that fps names are, one document each, and those without an id."""
+    ids = prints.join(fps.select("fp").distinct(), "fp", "left_semi").select("doc_id").where("doc_id IS NOT NULL").distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").unionByName(texts.where("doc_id IS NULL"))
+
+
 def _distinct(batches: Iterator[pa.RecordBatch], told=None) -> Iterator[dict[int, np.ndarray]]:
     """Sets by id, those told of, without most of those that were there before."""
     seen: set[int] = set()
@@ -166,6 +174,32 @@ def all_blocks(texts: DataFrame, level: int = 0, told=None) -> DataFrame:
     return texts.select("text").mapInArrow(keyed, "key long, fp long")
 
 
+def unavoidable(hot: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Those rows of hot blocks that may be all that a close pair shares.
+
+    Of the blocks in one spreading, a close pair shares all but n / 4. A set with fewer hot blocks than that shares
+    another block, too, with each set close to it, and they meet there.
+    """
+
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _distinct(batches, told):
+            out: list[tuple] = []
+            keys, owners = blocks(list(rows.values()))
+            for turn in (0, 1):
+                count = np.bincount(owners[keys & np.uint64(1) == turn], minlength=len(rows))
+                for (fp, x), n in zip(rows.items(), count.tolist()):
+                    buckets = next((b for p, b, _ in spreadings(len(x)) if p & 1 == turn), 0)
+                    out.append((fp, turn, n - len(x) // 4 if n < buckets else 1))  # if n = buckets, empty ones may be among them
+            cols = list(zip(*out)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["fp", "turn", "need"])
+
+    told = _told(texts, hot)
+    need = texts.select("text").mapInArrow(needs, "fp long, turn long, need long").groupBy("fp", "turn").agg(F.min("need").alias("need"))
+    hot = hot.withColumn("turn", F.col("key").bitwiseAND(F.lit(1)))
+    some = hot.groupBy("fp", "turn").agg(F.count("*").alias("n")).join(need, ["fp", "turn"]).where("n >= need")
+    return hot.join(scratch.write(some.select("fp", "turn"), "unavoidable"), ["fp", "turn"], "left_semi").select("key", "fp", "part")
+
+
 def shared_blocks(texts: DataFrame) -> DataFrame:
     """(key, fp, rep): the blocks of at least two different sets, with each of these; rep: one of a block's."""
 
@@ -232,7 +266,7 @@ def sets_for(texts: DataFrame, sends: DataFrame) -> DataFrame:
     return full.join(F.broadcast(sends) if sends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else sends, "fp")
 
 
-def close(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def close(pairs: DataFrame, texts: DataFrame, prints: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) of sets whose Hamming distance is at most a ninth of their sizes' sum: 0.8 of the union is shared.
 
     A set goes to each a that it is paired with, and a's own once, in parts of HUB_ROWS sets.
@@ -258,7 +292,7 @@ def close(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> Da
                 cols = list(zip(*out)) or [[], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
-    sent = sets_for(texts, sends).select("hub", "part", "fp", "found").repartition("hub", "part")
+    sent = sets_for(holders(texts, prints, sends), sends).select("hub", "part", "fp", "found").repartition("hub", "part")
     return sent.sortWithinPartitions("hub", "part", F.col("fp") != F.col("hub"), "fp").mapInArrow(alike, "a long, b long")
 
 
@@ -284,13 +318,13 @@ def links(texts: DataFrame, scratch: Scratch, spare: bool = False, named: DataFr
     """
     named = scratch.write(_prints(texts), "prints") if named is None else named
     shared = scratch.write(shared_blocks(texts), "shared")
-    prints = named.join(shared.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("print").alias("print"))
+    prints = named.join(shared.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("print").alias("print"))
     prints = scratch.write(prints, "prints-shared")
     out = None
     if spare:
         often = shared.where("fp <> rep").groupBy("fp", "rep").count().groupBy("fp").agg(F.max_by("rep", F.struct("count", "rep")).alias("rep"))
         star = scratch.write(likely(often.select(F.col("rep").alias("a"), F.col("fp").alias("b")), prints), "star-pairs")
-        out = scratch.write(close(star, texts, scratch, "star"), "star")
+        out = scratch.write(close(star, texts, prints, scratch, "star"), "star")
         part = components(out, scratch, "star-cc")
         shared = shared.join(part.select(F.col("node").alias("fp"), F.col("root").alias("part")), "fp", "left")
     rows = shared.select("key", "fp", F.coalesce("part", "fp").alias("part") if spare else F.col("fp").alias("part"))
@@ -306,9 +340,11 @@ def links(texts: DataFrame, scratch: Scratch, spare: bool = False, named: DataFr
         hot = keyed.where(F.col("pairs") > 2 * HOT * F.col("n")).select("key", "fp", "part")
         if level == LEVELS or not hot.head(1):
             break
-        finer = all_blocks(texts, level + 1, _told(texts, hot)).select(F.col("key").alias("finer"), "fp")
-        rows = hot.join(finer, "fp").select(F.xxhash64("key", "finer").alias("key"), "fp", "part").distinct()
-    more = close(scratch.write(pairs.distinct(), "pairs"), texts, scratch, "pairs")
+        if not level:
+            hot = scratch.write(unavoidable(hot, holders(texts, prints, hot), scratch), "hot")
+        finer = all_blocks(holders(texts, prints, hot), level + 1, _told(texts, hot)).select(F.col("key").alias("finer"), "fp").distinct()
+        rows = hot.join(finer, "fp").select(F.xxhash64("key", "finer").alias("key"), "fp", "part")
+    more = close(scratch.write(pairs.distinct(), "pairs"), texts, prints, scratch, "pairs")
     return more if out is None else out.union(more)
 
 
