@@ -177,7 +177,7 @@ def all_blocks(texts: DataFrame, level: int = 0, told=None) -> DataFrame:
 def unavoidable(hot: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Those rows of hot blocks that may be all that a close pair shares.
 
-    Of the blocks in one spreading, a close pair shares all but n / 4. A set with fewer hot blocks than that shares
+    Of the blocks in the spreading made for its classes, a close pair shares all but a quarter of the smaller size. A set with fewer hot blocks than that shares
     another block, too, with each set close to it, and they meet there.
     """
 
@@ -188,8 +188,9 @@ def unavoidable(hot: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame
             for turn in (0, 1):
                 count = np.bincount(owners[keys & np.uint64(1) == turn], minlength=len(rows))
                 for (fp, x), n in zip(rows.items(), count.tolist()):
-                    buckets = next((b for p, b, _ in spreadings(len(x)) if p & 1 == turn), 0)
-                    out.append((fp, turn, n - len(x) // 4 if n < buckets else 1))  # if n = buckets, empty ones may be among them
+                    p, buckets = next(((p, b) for p, b, _ in spreadings(len(x)) if p & 1 == turn), (0, 0))
+                    most = min(len(x), CLASSES[p + 1] - 1) // 4  # that a set of this class and one of the next may differ in
+                    out.append((fp, turn, n - most if n < buckets else 1))  # if n = buckets, empty ones may be among them
             cols = list(zip(*out)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["fp", "turn", "need"])
 
