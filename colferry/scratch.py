@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import cache
@@ -34,6 +35,11 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def settle(self) -> None:
+        """Shuffle files of finished work go now: they stay until their plans are collected as garbage, here and in the JVM."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def keep(self, *names: str) -> None:
         root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
