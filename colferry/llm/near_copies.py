@@ -3,8 +3,8 @@
 Such sets of n and m shingles differ in at most (n + m) / 9 of them. So a document's fingerprint here is a long one:
 its shingles are spread over that many buckets and some more, by hash, and each bucket gives a 64-bit SimHash. Two
 close documents differ in fewer buckets than there are, hence share a block (pigeonhole). Documents of like size are
-joined on blocks, and the Hamming distance of their sets decides. A block that many documents share is cut again
-with another spreading, which close pairs must share a block of, too. Equal sets are one row from the start.
+joined on blocks, and the Hamming distance of their sets decides. Blocks that many documents share are passed over, but for documents that
+may share nothing else with a close one; those are spread anew, and must share a block in that, too. Equal sets are one row from the start.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from colferry.llm.components import components
 from colferry.llm.simhash import BROADCAST_IDS, without_ids
 
 WORDS, SEED = 5, 42
-#: Pairs to be compared for each set of a block beyond which it is cut again; how often that is done.
-HOT, LEVELS = 64, 4
+#: Pairs to be compared for each set of a block beyond which it is hot; how often sets are spread anew for that.
+HOT, LEVELS = 16, 6
 #: Sets that are compared with one in one place.
 HUB_ROWS = 4096
 #: Sets that a task remembers in order not to tell of them again.
@@ -174,17 +174,17 @@ def all_blocks(texts: DataFrame, level: int = 0, told=None) -> DataFrame:
     return texts.select("text").mapInArrow(keyed, "key long, fp long")
 
 
-def unavoidable(hot: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Those rows of hot blocks that may be all that a close pair shares.
+def unavoidable(hot: DataFrame, texts: DataFrame, level: int) -> DataFrame:
+    """(fp, part) of the sets whose hot blocks may be all that they share with a close one.
 
-    Of the blocks in the spreading made for its classes, a close pair shares all but a quarter of the smaller size. A set with fewer hot blocks than that shares
-    another block, too, with each set close to it, and they meet there.
+    Of the blocks in the spreading made for its classes, a close pair shares all but a quarter of the smaller size. A
+    set with fewer hot blocks than that shares another block, too, with each set close to it, and they meet there.
     """
 
     def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _distinct(batches, told):
             out: list[tuple] = []
-            keys, owners = blocks(list(rows.values()))
+            keys, owners = blocks(list(rows.values()), level)
             for turn in (0, 1):
                 count = np.bincount(owners[keys & np.uint64(1) == turn], minlength=len(rows))
                 for (fp, x), n in zip(rows.items(), count.tolist()):
@@ -197,8 +197,8 @@ def unavoidable(hot: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame
     told = _told(texts, hot)
     need = texts.select("text").mapInArrow(needs, "fp long, turn long, need long").groupBy("fp", "turn").agg(F.min("need").alias("need"))
     hot = hot.withColumn("turn", F.col("key").bitwiseAND(F.lit(1)))
-    some = hot.groupBy("fp", "turn").agg(F.count("*").alias("n")).join(need, ["fp", "turn"]).where("n >= need")
-    return hot.join(scratch.write(some.select("fp", "turn"), "unavoidable"), ["fp", "turn"], "left_semi").select("key", "fp", "part")
+    some = hot.groupBy("fp", "turn").agg(F.count("*").alias("n"), F.first("part").alias("part")).join(need, ["fp", "turn"])
+    return some.where("n >= need").select("fp", "part").distinct()
 
 
 def shared_blocks(texts: DataFrame) -> DataFrame:
@@ -319,6 +319,7 @@ def links(texts: DataFrame, scratch: Scratch, spare: bool = False, named: DataFr
     """
     named = scratch.write(_prints(texts), "prints") if named is None else named
     shared = scratch.write(shared_blocks(texts), "shared")
+    scratch.settle()
     prints = named.join(shared.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("print").alias("print"))
     prints = scratch.write(prints, "prints-shared")
     out = None
@@ -334,6 +335,8 @@ def links(texts: DataFrame, scratch: Scratch, spare: bool = False, named: DataFr
         # pairs of a key between different parts: half of n^2 less the squares of the parts' counts
         sizes = rows.groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), (F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))).alias("pairs"))
         keyed = scratch.write(rows.join(sizes.where("pairs > 0"), "key"), f"blocks{level}")
+        rows = sizes = None
+        scratch.settle()
         few = keyed if level == LEVELS else keyed.where(F.col("pairs") <= 2 * HOT * F.col("n"))
         a, b = (few.select("key", F.col("fp").alias(s), F.col("part").alias(f"part_{s}")) for s in "ab")
         found = scratch.write(likely(a.join(b, "key").where("a < b AND part_a <> part_b").select("a", "b").distinct(), prints), f"pairs{level}")
@@ -341,10 +344,8 @@ def links(texts: DataFrame, scratch: Scratch, spare: bool = False, named: DataFr
         hot = keyed.where(F.col("pairs") > 2 * HOT * F.col("n")).select("key", "fp", "part")
         if level == LEVELS or not hot.head(1):
             break
-        if not level:
-            hot = scratch.write(unavoidable(hot, holders(texts, prints, hot), scratch), "hot")
-        finer = all_blocks(holders(texts, prints, hot), level + 1, _told(texts, hot)).select(F.col("key").alias("finer"), "fp").distinct()
-        rows = hot.join(finer, "fp").select(F.xxhash64("key", "finer").alias("key"), "fp", "part")
+        left = scratch.write(unavoidable(hot, holders(texts, prints, hot), level), f"left{level}")
+        rows = all_blocks(holders(texts, prints, left), level + 1, _told(texts, left)).distinct().join(left, "fp").select("key", "fp", "part")
     more = close(scratch.write(pairs.distinct(), "pairs"), texts, prints, scratch, "pairs")
     return more if out is None else out.union(more)
 
