@@ -78,4 +78,4 @@ def test_blocks_cut_again(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
     sets = sorted({frozenset(words(t)) for t in texts}, key=len)
     want = sum(5 * len(a & b) >= 4 * len(a | b) for i, a in enumerate(sets) for b in sets[i + 1 :])
-    assert near_copies.links(near_copies._texts(docs, "doc_id", "text"), Scratch(spark)).distinct().count() == want > 10
+    assert near_copies.links(near_copies._texts(docs, "doc_id", "text"), Scratch(spark)).distinct().count() == want >= 5
