@@ -318,6 +318,7 @@ def links(texts: DataFrame, scratch: Scratch, spare: bool = False, named: DataFr
     million pairs.
     """
     named = scratch.write(_prints(texts), "prints") if named is None else named
+    scratch.settle()
     shared = scratch.write(shared_blocks(texts), "shared")
     scratch.settle()
     prints = named.join(shared.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("print").alias("print"))
@@ -326,7 +327,9 @@ def links(texts: DataFrame, scratch: Scratch, spare: bool = False, named: DataFr
     if spare:
         often = shared.where("fp <> rep").groupBy("fp", "rep").count().groupBy("fp").agg(F.max_by("rep", F.struct("count", "rep")).alias("rep"))
         star = scratch.write(likely(often.select(F.col("rep").alias("a"), F.col("fp").alias("b")), prints), "star-pairs")
+        scratch.settle()
         out = scratch.write(close(star, texts, prints, scratch, "star"), "star")
+        scratch.settle()
         part = components(out, scratch, "star-cc")
         shared = shared.join(part.select(F.col("node").alias("fp"), F.col("root").alias("part")), "fp", "left")
     rows = shared.select("key", "fp", F.coalesce("part", "fp").alias("part") if spare else F.col("fp").alias("part"))
@@ -340,13 +343,16 @@ def links(texts: DataFrame, scratch: Scratch, spare: bool = False, named: DataFr
         few = keyed if level == LEVELS else keyed.where(F.col("pairs") <= 2 * HOT * F.col("n"))
         a, b = (few.select("key", F.col("fp").alias(s), F.col("part").alias(f"part_{s}")) for s in "ab")
         found = scratch.write(likely(a.join(b, "key").where("a < b AND part_a <> part_b").select("a", "b").distinct(), prints), f"pairs{level}")
+        scratch.settle()
         pairs = found if pairs is None else pairs.union(found)
         hot = keyed.where(F.col("pairs") > 2 * HOT * F.col("n")).select("key", "fp", "part")
         if level == LEVELS or not hot.head(1):
             break
         left = scratch.write(unavoidable(hot, holders(texts, prints, hot), level), f"left{level}")
         rows = all_blocks(holders(texts, prints, left), level + 1, _told(texts, left)).distinct().join(left, "fp").select("key", "fp", "part")
-    more = close(scratch.write(pairs.distinct(), "pairs"), texts, prints, scratch, "pairs")
+    pairs = scratch.write(pairs.distinct(), "pairs")
+    scratch.settle()
+    more = close(pairs, texts, prints, scratch, "pairs")
     return more if out is None else out.union(more)
 
 

@@ -8,6 +8,7 @@ import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @cache
@@ -36,9 +37,16 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def settle(self) -> None:
-        """Shuffle files of finished work go now: they stay until their plans are collected as garbage, here and in the JVM."""
+        """Shuffle files of finished work go now: they stay until their plans are collected as garbage, here and in the JVM.
+
+        So does what executors' heaps have grown to: a heap is given back to the system by a full collection alone, and
+        native memory and Python workers have to find room beside it. One task goes to each, while they are idle.
+        """
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        others = len(self.spark.sparkContext._jsc.sc().statusTracker().getExecutorInfos()) - 1  # the driver is one, too
+        if others > 0:
+            self.spark.range(0, others, 1, others).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
 
     def keep(self, *names: str) -> None:
         root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)

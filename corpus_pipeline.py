@@ -25,6 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings that start earlier in the corpus are cut from the texts; a document without text left goes."""
+    Scratch(spark).settle()
     cut = remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
     return cut.where(F.length(F.trim("text")) > 0).select(*docs.columns)
 
@@ -34,6 +35,7 @@ def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     The mix takes rows of one id and source alike, null ids and sources among them, so these two say how often.
     """
+    Scratch(spark).settle()
     times = (F.col("taken") / F.col("size")).cast("int")
     taken = mix(docs).where("size > 0").select(F.struct("doc_id", "source", times.alias("times")).alias("mixed")).distinct().where("mixed.times <> 1")
     taken = Scratch(spark).write(taken, "taken")
@@ -45,6 +47,7 @@ def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their token ids, their sequences, and which copy of the document they are of."""
+    Scratch(spark).settle()
     return pack(docs, with_ids=True, with_copies=True)
 
 
