@@ -1,7 +1,9 @@
 """The two Parquet sinks: Spark's own writer, and an Arrow writer in the tasks for what that one cannot express.
 
 Either way tasks write under temporary names next to the target and the driver renames what successful tasks report,
-so a retried or lost task leaves nothing behind that counts. A split target is written by all tasks at once.
+so a retried or lost task leaves nothing behind that counts. All tasks write at once: the files of a split target, or
+parts of a target of one file, of up to FILE_ROWS rows (or one row group), which are then joined as they are. Row groups
+are as one task would have made them: the ends of tasks' rows, too few for a row group, are put together first.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import types as T
 from colferry.errors import FerryError
 from colferry.functions.convert import to_storage
 from colferry.functions.geo import geo_metadata
+from colferry.operators.joined import Part, join, surveys
 from colferry.options import CopyToOptions, assign_field_ids, children
 from colferry.scratch import Scratch
 from colferry.sources.scan import open_fs
@@ -29,6 +32,8 @@ from colferry.sources.uri import Uri, parse_uri
 from colferry.types import ARROW_ONLY, SqlType, arrow_type, of_spark, spark_type
 
 BATCH_ROWS = 1024
+#: Rows that a part of a file has at most, unless its one row group has more.
+FILE_ROWS = 122_880
 _GZIP = {1: "BEST_SPEED", 2: "TWO", 3: "THREE", 4: "FOUR", 5: "FIVE", 6: "SIX", 7: "SEVEN", 8: "EIGHT", 9: "BEST_COMPRESSION"}
 
 
@@ -145,22 +150,90 @@ def _write_native(df: DataFrame, columns: list[tuple[str, SqlType]], target: Uri
     fs, out = _hadoop(spark, target)
     if fs.exists(out) and fs.getFileStatus(out).isDirectory():
         raise _is_folder(target)
-    folder = _hadoop_path(spark, f"{out.getParent()}/.tmp-{uuid.uuid4().hex}")
+    mark = f".tmp-{uuid.uuid4().hex}"
+    folder = _hadoop_path(spark, f"{out.getParent()}/{mark}")
+    home, limit = _beside(target, mark), _part_rows(options)
     wanted = {"spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS", "spark.sql.timeType.enabled": "true", "spark.sql.caseSensitive": "true", "spark.sql.parquet.fieldId.write.enabled": "true", "spark.sql.session.timeZone": "UTC"}
-    writer = _one(named, df).write.option("compression", options.compression).option("parquet.block.size", options.row_group_size_bytes).option("parquet.block.row.count.limit", options.row_group_size).option("parquet.page.size.row.check.max", BATCH_ROWS)
-    if options.compression == "gzip":
-        writer = writer.option("zlib.compress.level", _GZIP[options.compression_level])
-    if options.compression == "zstd":
-        writer = writer.option("parquet.compression.codec.zstd.level", options.compression_level)
+
+    def written(rows: DataFrame, name: str) -> list[Part]:
+        writer = rows.write.option("compression", options.compression).option("parquet.block.size", options.row_group_size_bytes).option("parquet.block.row.count.limit", options.row_group_size).option("parquet.page.size.row.check.max", BATCH_ROWS).option("maxRecordsPerFile", limit)
+        if options.compression == "gzip":
+            writer = writer.option("zlib.compress.level", _GZIP[options.compression_level])
+        if options.compression == "zstd":
+            writer = writer.option("parquet.compression.codec.zstd.level", options.compression_level)
+        writer.parquet(f"{folder}/{name}")
+        found = {tuple(map(int, m.groups())): f.getPath().getName() for f in fs.listStatus(_hadoop_path(spark, f"{folder}/{name}")) if (m := re.match(r"part-(\d+)-.*-c(\d+)\.", f.getPath().getName()))}
+        return surveys(spark, home, [f"{open_fs(home)[1]}/{name}/{found[k]}" for k in sorted(found)])
+
     with conf(spark, wanted):
         try:
-            writer.parquet(str(folder))
-            parts = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
-            _replace(spark, fs, parts[0], out)
+            parts = written(named, "a")
+            parts = [p for p in parts if p.rows] or parts[:1]
+            short = lambda p: p.rows % options.row_group_size != 0 and 2 * p.last_bytes < options.row_group_size_bytes
+            parts, rest = _settled(parts, [short(p) for p in parts], _ordered(df))
+            if rest:
+                again = _together(options, sum(p.rows for p in rest), sum(p.bytes for p in rest))
+                parts += written(_regrouped(spark, named.schema, f"{folder}/a", rest, again), "b")
+            last = parts[0].path
+            if len(parts) > 1:
+                join(spark, home, parts, last := f"{open_fs(home)[1]}/whole")
+            _forget_sums(target)
+            _replace(spark, fs, _hadoop_path(spark, f"{folder}/{last.removeprefix(open_fs(home)[1] + '/')}"), out)
         finally:
             fs.delete(folder, True)
-    arrow, path = open_fs(target)
-    return pq.read_metadata(path, filesystem=arrow).num_rows
+    return sum(p.rows for p in parts)
+
+
+def _beside(target: Uri, name: str) -> Uri:
+    return Uri(target.text, target.scheme, target.bucket, f"{target.path.rpartition('/')[0]}/{name}", target.account)
+
+
+def _part_rows(options: CopyToOptions) -> int:
+    return options.row_group_size * -(-FILE_ROWS // options.row_group_size)
+
+
+def _together(options: CopyToOptions, rows: int, size: int) -> int:
+    """Rows that a task puts together: whole row groups, of no more bytes than a row group may have; of one that bytes end, so many rows."""
+    room = max(1, options.row_group_size_bytes * rows // max(1, size))
+    return min(_part_rows(options), room // options.row_group_size * options.row_group_size or room)
+
+
+def _settled(parts: list, short: list[bool], ordered: bool) -> tuple[list, list]:
+    """Parts that stay as they are, and those to be put together anew: all whose last row group is short but the last one.
+
+    Where the order counts, all that come after the first of these are among them.
+    """
+    at = [k for k, s in enumerate(short) if s]
+    if not ordered and len(at) == 1:
+        return [p for k, p in enumerate(parts) if k != at[0]] + [parts[at[0]]], []
+    if not at or at[0] == len(parts) - 1:
+        return parts, []
+    again = range(at[0], len(parts)) if ordered else at
+    return [p for k, p in enumerate(parts) if k not in set(again)], [parts[k] for k in again]
+
+
+def _regrouped(spark, schema: T.StructType, folder: str, parts: list[Part], limit: int) -> DataFrame:
+    """The rows of parts in their order, `limit` to a partition."""
+    bases, total, mark = [], 0, f"__{uuid.uuid4().hex}"
+    for p in parts:
+        bases.append((p.path.rpartition("/")[2], total))
+        total += p.rows
+    again = spark.read.schema(schema).parquet(*[f"{folder}/{name}" for name, _ in bases])
+    at = again.metadataColumn("_metadata")
+    known = F.broadcast(spark.createDataFrame(bases, f"{mark}f string, {mark}b long"))
+    rows = again.select("*", at.getField("file_name").alias(f"{mark}n"), at.getField("row_index").alias(f"{mark}r")).join(known, F.col(f"{mark}n") == F.col(f"{mark}f"))
+    rows = rows.withColumn(f"{mark}i", F.col(f"{mark}b") + F.col(f"{mark}r"))
+    spread = rows.repartitionById(-(-total // limit), F.floor(F.col(f"{mark}i") / limit).cast("int"))
+    return spread.sortWithinPartitions(f"{mark}i").drop(*[mark + x for x in "fbnri"])
+
+
+def _forget_sums(target: Uri) -> None:
+    """A checksum that Hadoop keeps of the local file that is about to be replaced."""
+    if target.scheme == "file":
+        folder, _, name = target.path.rpartition("/")
+        fs, sums = open_fs(_beside(target, f".{name}.crc"))
+        if fs.get_file_info(sums).type == pafs.FileType.File:
+            fs.delete_file(sums)
 
 
 def _is_folder(target: Uri) -> FerryError:
@@ -239,7 +312,7 @@ def _hadoop(spark, target: Uri):
 
 # --- the Arrow writer ---
 
-_REPORT = "part int, seq int, path string, rows long"
+_REPORT = "part int, seq int, path string, rows long, bytes long, short boolean"
 
 
 def _write_arrow(df: DataFrame, columns: list[tuple[str, SqlType]], target: Uri, options: CopyToOptions, ids: dict) -> int:
@@ -266,31 +339,33 @@ def _write_arrow(df: DataFrame, columns: list[tuple[str, SqlType]], target: Uri,
         )
         return sink, writer
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    limit = None if split else _part_rows(options)
+
+    def write(batches: Iterator[pa.RecordBatch], part: int | None = None, made: bool = False) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        part, attempt = context.partitionId(), context.taskAttemptId()
+        part, attempt = context.partitionId() if part is None else part, context.taskAttemptId()
         fs, base = open_fs(head)
-        seq, open_file, held, held_rows, held_bytes, rows, report = 0, None, [], 0, 0, 0, []
+        seq, open_file, held, held_rows, held_bytes, rows, size, report = 0, None, [], 0, 0, 0, 0, []
 
         def flush() -> None:
-            nonlocal held, held_rows, held_bytes, open_file, rows
+            nonlocal held, held_rows, held_bytes, open_file, rows, size
             if open_file is None:
                 path = f"{base}-{part}-{attempt}-{seq}"
                 open_file = (path, *open_writer(path, fs))
-                rows = 0
+                rows = size = 0
             if held:
                 open_file[2].write_table(pa.Table.from_batches(held, schema), row_group_size=options.row_group_size)
-                rows += held_rows
+                rows, size = rows + held_rows, size + held_bytes
                 held, held_rows, held_bytes = [], 0, 0
 
-        def close() -> None:
+        def close(short: bool = False) -> None:
             nonlocal open_file, seq
             path, sink, writer = open_file
             writer.close()
             sink.close()
-            report.append((part, seq, path, rows))
+            report.append((part, seq, path, rows, size, short))
             open_file, seq = None, seq + 1
 
         for batch in batches:
@@ -298,45 +373,90 @@ def _write_arrow(df: DataFrame, columns: list[tuple[str, SqlType]], target: Uri,
             while at < batch.num_rows:
                 take = batch.slice(at, min(BATCH_ROWS, options.row_group_size - held_rows))
                 at += take.num_rows
-                held.append(pa.RecordBatch.from_arrays([_conform(pa.concat_arrays([c]), f.type) for c, f in zip(take.columns, schema)], schema=schema))
+                held.append(take if made else pa.RecordBatch.from_arrays([_conform(pa.concat_arrays([c]), f.type) for c, f in zip(take.columns, schema)], schema=schema))
                 held_rows += take.num_rows
                 held_bytes += held[-1].nbytes
                 if held_rows >= options.row_group_size or held_bytes >= min(options.row_group_size_bytes, split or held_bytes + 1):
                     flush()
-                    if split and open_file[1].tell() > split:
+                    if split and open_file[1].tell() > split or limit and rows >= limit:
                         close()
-        if held or open_file or not split and not report:
+        if short := bool(held):
             flush()
-            close()
-        cols = list(zip(*report)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], names=["part", "seq", "path", "rows"])
+        if open_file:
+            close(short)
+        cols = list(zip(*report)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_()))], names=[c.split()[0] for c in _REPORT.split(", ")])
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of parts, put together anew."""
+        fs, _ = open_fs(head)
+
+        def read(pieces: list[dict]) -> Iterator[pa.RecordBatch]:
+            for p in pieces:
+                at = 0
+                with fs.open_input_file(p["path"]) as f:
+                    for batch in pq.ParquetFile(f).iter_batches(BATCH_ROWS):
+                        start, stop = max(0, p["start"] - at), min(batch.num_rows, p["stop"] - at)
+                        at += batch.num_rows
+                        if start < stop:
+                            some = batch.slice(start, stop - start)
+                            yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(some.columns, schema)], schema=schema)
+                        if at >= p["stop"]:
+                            break
+
+        for batch in batches:
+            for part, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield from write(read(pieces), part, True)
 
     stored = store(df, columns)
     if split:
         stored = stored.coalesce(max(1, min(1 << 20, _expected_bytes(df) // split)))
-    else:
-        stored = _one(stored, df)
     report: list = []
     with conf(spark, {"spark.sql.session.timeZone": "UTC", "spark.sql.timeType.enabled": "true"}):
         try:
             report = sorted(stored.mapInArrow(write, _REPORT).collect())  # one row a file
+            if not split and report:
+                report, rest = _settled(report, [r["short"] for r in report], _ordered(df))
+                if rest:
+                    made = _pieces(rest, _together(options, sum(r["rows"] for r in rest), sum(r["bytes"] for r in rest)))
+                    spread = spark.createDataFrame(made, "part int, pieces array<struct<path: string, start: long, stop: long>>").repartition(min(len(made), 1024))
+                    report += sorted(spread.mapInArrow(rewrite, _REPORT).collect())
             if not report:
                 fs, base = open_fs(head)
                 sink, writer = open_writer(f"{base}-empty", fs)
                 writer.close()
                 sink.close()
                 report = [(0, 0, f"{base}-empty", 0)]
-            _place([r[2] for r in report], target, bool(split))
+            paths = [r[2] for r in report]
+            if not split and len(paths) > 1:
+                join(spark, head, surveys(spark, head, paths), whole := f"{open_fs(head)[1]}-whole")
+                paths = [whole]
+            _place(paths, target, bool(split))
         finally:
             _sweep(head)
     return sum(r[3] for r in report)
 
 
-def _one(stored: DataFrame, df: DataFrame) -> DataFrame:
-    """One partition for one file. What comes before still runs in parallel, unless the rows are in order already."""
+def _pieces(parts: list, limit: int) -> list[tuple[int, list[tuple[str, int, int]]]]:
+    """Rows of parts in their order, `limit` together: numbered lists of (path, first row, row after the last)."""
+    out: list[list] = []
+    room = 0
+    for p in parts:
+        at = 0
+        while at < p["rows"]:
+            if not room:
+                out.append([])
+                room = limit
+            n = min(room, p["rows"] - at)
+            out[-1].append((p["path"], at, at + n))
+            at, room = at + n, room - n
+    return list(enumerate(out))
+
+
+def _ordered(df: DataFrame) -> bool:
+    """Whether the rows are in an order that a file has to keep."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    ordered = re.match(r"(?:(?:Project|SubqueryAlias|Filter)[^\n]*\n[\s:+-]*)*(?:Sort|GlobalLimit)\b", plan)
-    return stored.coalesce(1) if ordered else stored.repartition(1)
+    return bool(re.match(r"(?:(?:Project|SubqueryAlias|Filter)[^\n]*\n[\s:+-]*)*(?:Sort|GlobalLimit)\b", plan))
 
 
 def _expected_bytes(df: DataFrame) -> int:
@@ -348,6 +468,7 @@ def _place(paths: list[str], target: Uri, split: bool) -> None:
     fs, base = open_fs(target)
     if not split:
         fs.create_dir(base.rpartition("/")[0], recursive=True)
+        _forget_sums(target)
         fs.move(paths[0], base)  # over the old file, if there is one; a directory is refused before
         return
     if fs.get_file_info(base).type == pafs.FileType.File:
