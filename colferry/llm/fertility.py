@@ -110,12 +110,21 @@ def repeat_words(words: list[bytes]) -> int:
     return int((np.cumsum(mark) > 0).sum())
 
 
+def word_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]:
+    """Words, their characters, symbols, repeated lines, words in repeated windows."""
+    spaces = sum(map(text.count, SPACES))
+    lines = [x for x in text.split("\n") if x.strip(SPACES)]
+    return len(words), len(text) - spaces, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words)
+
+
+def counts_fail(counts: tuple) -> bool:
+    return counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
+
+
 def measure(text: str, pieces: Pieces) -> tuple:
     """Word counts, then tokens, characters a token (both vocabularies), fallback share, both entropies; None without words."""
     words = text.encode().split()
-    spaces = sum(map(text.count, SPACES))
-    lines = [x for x in text.split("\n") if x.strip(SPACES)]
-    counts = (len(words), len(text) - spaces, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words))
+    counts = word_counts(text, words)
     if not words:
         return *counts, 0, None, None, None, None, None
     ids = byte_bpe().encode_to_numpy(text, disallowed_special=())
@@ -149,6 +158,24 @@ def in_bands(m: tuple, band: Mapping[str, float]) -> bool:
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, chars_per_piece double, fallback_share double, entropy double, band string, window_entropy double"
 
 
+COUNTS = ", ".join(SCHEMA.split(", ")[:7])
+
+
+def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The plain counts of fertility and base_failed alone, without vocabularies: one pass, nothing written between."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                rows = []
+                for text in batch.column(1).to_pylist():
+                    counts = word_counts(text or "", (text or "").encode().split())
+                    rows.append((*counts, counts_fail(counts)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] * 5 + [pa.bool_()]))], names=[c.split()[0] for c in COUNTS.split(", ")])
+
+    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(judge, COUNTS)
+
+
 def _medians(rows: DataFrame, value: str, width: float) -> DataFrame:
     """band, docs and the median of a column to the width of a bin; one row a bin and band is ranked."""
     bins = rows.groupBy("band", F.floor(F.col(value) / width).alias("bin")).agg(F.count("*").alias("n"))
@@ -209,7 +236,7 @@ def fertility(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 rows = []
                 for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                     m = measure(text or "", pieces)
-                    failed = m[0] < 10 or 100 * m[4] > 20 * m[0]
+                    failed = counts_fail(m)
                     name = lang if lang in bands else script(text or "")
                     rows.append((*m[:5], failed, not failed and in_bands(m, bands[name]), *m[5:10], name, m[10]))
                 kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] + [pa.float64()] * 4 + [pa.string(), pa.float64()]
