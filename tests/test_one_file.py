@@ -10,6 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from colferry.functions.footer import inspect
 from colferry.operators import joined, sink
 from colferry.operators.copy_to import copy_to
 from colferry.sources.uri import Uri
@@ -107,3 +108,13 @@ def test_no_more_bytes_are_put_together_than_a_row_group_has(spark, tmp_path, co
     assert sorted(pq.read_table(f"{tmp_path}/x.parquet").column("id").to_pylist()) == list(range(600))
     limit = sink._together(sink.CopyToOptions(row_group_size_bytes=1 << 20), 600, 600 * 10_800)
     assert 90 <= limit <= 100 and sink._together(sink.CopyToOptions(row_group_size=30, row_group_size_bytes=1 << 20), 600, 600 * 10_800) == 90
+
+
+def test_long_footers_are_decoded_in_parts(spark, tmp_path, monkeypatch):
+    copy_to(spark.range(0, 3000, 1, 3).selectExpr("id", "CAST(IF(id % 3 = 0, NULL, id) AS STRING) AS t", "named_struct('x', -id) AS s"), f"{tmp_path}/x.parquet", {"row_group_size": 10, "field_ids": "auto"})
+    whole = [tuple(r) for r in inspect(spark, "column_stats", f"{tmp_path}/x.parquet").collect()]
+    monkeypatch.setattr(joined, "FOOTER_BYTES", 5000)
+    parts = list(joined.footers(f"{tmp_path}/x.parquet"))
+    assert len(parts) > 5 and sum(m.num_row_groups for m in parts) == 300
+    assert [tuple(r) for r in inspect(spark, "column_stats", f"{tmp_path}/x.parquet").collect()] == whole
+    assert [r[2:5] for r in whole] == [("0", "2999", 0), ("1", "998", 1000), ("-2999", "0", 0)]
